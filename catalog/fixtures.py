@@ -34,8 +34,19 @@ PIVOT = WHOLE.during(YEAR)
 FUNNEL = WHOLE.during(MONTH)
 
 
+# Columns of the star tables that the mapping reads.
+STAR_COLUMNS = {
+    "customer": "c_custkey bigint, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+    "o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, "
+    "l_linenumber int, l_quantity double, l_extendedprice double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(STAR_COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,10 +160,8 @@ def star_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(**{n: conform(make(spark, sf_dir), n) for n, make in makers.items()})
 
 
-def single_id_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """As ``star_tables``, with customer ids as account ids: the funnel's
-    sources share one id space."""
-    tables = star_tables(spark, sf_dir)
+def single_id(tables: Tables) -> Tables:
+    """Customer ids as account ids: the funnel's sources share one id space."""
     customer = F.expr("account_id div 10")
     return replace(
         tables,

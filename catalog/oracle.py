@@ -14,6 +14,7 @@ from arrearly.params import AGREEMENT_CODES, RPC_CODES, DayWindow, spanish_month
 from catalog.fixtures import EXPOSURE_DATE, FUNNEL, SPAN, WHOLE, YEAR
 
 ORACLE_SQL: dict[str, str] = {}
+_PARTS: dict[str, tuple[str, str, dict[str, str]]] = {}
 
 
 # --- the six input tables --------------------------------------------------------
@@ -162,7 +163,7 @@ CONTACTABILITY = (
 DUE = (
     "CASE WHEN overdue_balance <= 0 THEN base_fee"
     " WHEN current_balance = overdue_balance THEN overdue_balance"
-    " ELSE least(overdue_balance + base_fee, current_balance) END"
+    " WHEN overdue_balance > 0 THEN least(overdue_balance + base_fee, current_balance) END"
 )
 
 
@@ -300,7 +301,15 @@ NEEDS = {
 
 def add(name: str, needs: str, select: str, **replaced: str) -> None:
     """Register ``select`` with the tables it needs; ``replaced`` redefines some."""
-    tables = {**INPUTS, **DERIVED, **replaced}
+    _PARTS[name] = (needs, select, replaced)
+    ORACLE_SQL[name] = sql(name)
+
+
+def sql(name: str, inputs: dict[str, str] = INPUTS) -> str:
+    """The SQL of a query, over the test tables or any other definition of the
+    six input tables."""
+    needs, select, replaced = _PARTS[name]
+    tables = {**inputs, **DERIVED, **replaced}
     ordered: list[str] = []
 
     def visit(table: str) -> None:
@@ -312,7 +321,7 @@ def add(name: str, needs: str, select: str, **replaced: str) -> None:
     for table in needs.split():
         visit(table)
     ctes = ",\n".join(f"{t} AS ({tables[t]})" for t in ordered)
-    ORACLE_SQL[name] = f"WITH {ctes}\n{select}"
+    return f"WITH {ctes}\n{select}"
 
 
 # --- snapshot and exclusion ------------------------------------------------------------
@@ -475,7 +484,8 @@ add(
         FROM managed m
         LEFT JOIN month_scores s
                ON s.customer_id = m.customer_id
-              AND {_month("s.cutoff_date + INTERVAL 1 DAY")} = m.month_year""",
+              AND {_month("date_trunc('month', s.cutoff_date) + INTERVAL 1 MONTH")}
+                  = m.month_year""",
 )
 add(
     "score_row_counts",

@@ -22,27 +22,34 @@ from catalog.fixtures import (
     SPAN,
     WHOLE,
     YEAR,
-    single_id_tables,
+    single_id,
     star_tables,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# The same queries as functions of the input tables.
+BUILDERS: dict[str, Callable[[a.Tables], DataFrame]] = {}
 
 
 def query(build: Callable[[a.Tables], DataFrame]) -> Callable[[a.Tables], DataFrame]:
     """Register a query over the two-id-space tables under its function name."""
-    return _register(build, star_tables)
+    return _register(build, lambda t: t)
 
 
 def single_id_query(build: Callable[[a.Tables], DataFrame]):
-    return _register(build, single_id_tables)
+    """As ``query``, with customer ids as account ids throughout."""
+    return _register(build, single_id)
 
 
-def _register(build, tables):
+def _register(build, adapt):
+    def on_tables(tables: a.Tables) -> DataFrame:
+        return comparable(build(adapt(tables)))
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return comparable(build(tables(spark, sf_dir)))
+        return on_tables(star_tables(spark, sf_dir))
 
+    BUILDERS[build.__name__] = on_tables
     QUERIES[build.__name__] = run
     return build
 

@@ -1,0 +1,49 @@
+from datetime import date, datetime
+
+from pyspark.sql import functions as F
+
+from arrearly import CORE, DIRECTORY, STAGING, DayWindow, rolling_months
+from arrearly.params import spanish_month_label
+
+
+def test_published_windows():
+    assert len(STAGING.window.month_keys()) == 13
+    assert STAGING.window.month_keys()[0] == "2025-06"
+    assert CORE.window.month_keys() == ["2026-06"]
+    assert len(DIRECTORY.channels) == 13
+
+
+def test_rolling_months():
+    window = rolling_months(date(2026, 6, 12))
+    assert (window.start, window.end) == (date(2025, 6, 1), date(2026, 6, 30))
+    assert rolling_months(date(2024, 2, 1), 1) == DayWindow(date(2024, 2, 1), date(2024, 2, 29))
+    assert rolling_months(date(2025, 12, 31), 12).month_keys()[0] == "2025-01"
+
+
+def test_spanish_labels():
+    months = STAGING.window.month_keys()
+    assert [spanish_month_label(m) for m in months][:4] == [
+        "jun_2025", "jul_2025", "ago_2025", "sep_2025",
+    ]
+    assert spanish_month_label("2026-01") == "ene_2026"
+
+
+def test_last_day(spark):
+    """By day the whole last day counts, by instant only its midnight."""
+    window = DayWindow(date(2026, 6, 1), date(2026, 6, 30))
+    stamps = [
+        datetime(2026, 5, 31, 23, 59), datetime(2026, 6, 1), datetime(2026, 6, 30),
+        datetime(2026, 6, 30, 10), datetime(2026, 7, 1), None,
+    ]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(stamps)], "i int, ts timestamp_ntz")
+    for cast in ("timestamp_ntz", "timestamp"):
+        got = (
+            df.select("i", F.col("ts").cast(cast).alias("ts"))
+            .select("i", window.by_day("ts").alias("d"), window.by_instant("ts").alias("t"))
+            .orderBy("i")
+            .collect()
+        )
+        assert [r.d for r in got] == [False, True, True, True, False, None]
+        assert [r.t for r in got] == [False, True, True, False, False, None]
+    days = df.select("i", F.to_date("ts").alias("ts")).where(window.by_instant("ts"))
+    assert sorted(r.i for r in days.collect()) == [1, 2, 3]
