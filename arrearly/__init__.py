@@ -7,14 +7,18 @@ from arrearly.plans.efficiency import (
     predictive_efficiency,
     score_efficiency,
 )
-from arrearly.plans.funnel import funnel_counts, kpis_by_month, monthly_funnel
+from arrearly.plans.funnel import funnel_counts, kpis_by_month, monthly_funnel, rolling_kpis
 from arrearly.plans.pivots import agreements_by_month, assigned_by_month, covered_customers
+from arrearly.sources.schemas import CORE_NAMES, DIRECTORY_NAMES, STAGING_NAMES
 from arrearly.sources.tables import Tables, read_tables
 
 __all__ = [
     "CORE",
+    "CORE_NAMES",
     "DIRECTORY",
+    "DIRECTORY_NAMES",
     "STAGING",
+    "STAGING_NAMES",
     "DayWindow",
     "Settings",
     "Tables",
@@ -28,6 +32,7 @@ __all__ = [
     "monthly_funnel",
     "predictive_efficiency",
     "read_tables",
+    "rolling_kpis",
     "rolling_months",
     "score_efficiency",
 ]

@@ -155,3 +155,27 @@ def monthly_kpis(accounts: DataFrame) -> DataFrame:
             F.sum("recovered_amount").alias("realized_recovery"),
         )
     )
+
+
+def kpi_pivot(kpis: DataFrame, months: Sequence[str]) -> DataFrame:
+    """``monthly_kpis`` with a row per bucket and KPI and a column per month.
+
+    A bucket without customers in a month has NULL there: it has no rate.
+    """
+    names = [
+        "assigned_customers",
+        "rpc_contact_rate_pct",
+        "agreement_conversion_rate_pct",
+        "realized_recovery",
+    ]
+    return (
+        kpis.select(
+            "month_year",
+            "risk_bucket",
+            *[F.col(n).cast("decimal(38,2)").alias(n) for n in names],
+        )
+        .unpivot(["month_year", "risk_bucket"], names, "kpi", "value")
+        .groupBy("risk_bucket", "kpi")
+        .pivot("month_year", list(months))
+        .agg(F.first("value"))
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,11 +17,12 @@ from arrearly.operators.metrics import (
     collection_funnel,
     customer_due,
     exposure_due,
+    kpi_pivot,
     monthly_kpis,
 )
 from arrearly.operators.payments import customer_payment_days, daily_payments, net_recovery
 from arrearly.operators.portfolio import managed_accounts, with_month_year
-from arrearly.params import CORE, STAGING, Settings
+from arrearly.params import CORE, STAGING, Settings, rolling_months
 from arrearly.sources.tables import Tables
 
 
@@ -87,3 +90,14 @@ def kpis_by_month(tables: Tables, settings: Settings = STAGING) -> DataFrame:
         .drop("month")
         .orderBy(F.asc_nulls_last("month_year"), F.asc_nulls_last("risk_bucket"))
     )
+
+
+def rolling_kpis(
+    tables: Tables, end: date, n: int = 12, settings: Settings = STAGING
+) -> DataFrame:
+    """The KPIs of the ``n`` months that end with the month of ``end``, one row per
+    bucket and KPI."""
+    window = rolling_months(end, n)
+    return kpi_pivot(
+        kpis_by_month(tables, settings.during(window)), window.month_keys()
+    ).orderBy(F.asc_nulls_last("risk_bucket"), "kpi")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arrearly.params import DayWindow
 from arrearly.sources.schemas import SCHEMAS
 
 
@@ -90,16 +92,40 @@ _KEYS = {
 }
 
 
+def prune_months(df: DataFrame, month_column: str, window: DayWindow) -> DataFrame:
+    """Only the month partitions that ``window`` can need.
+
+    ``month_column`` is the partition column of the storage layout: the first
+    day of the month (date) or 'YYYY-MM' (string). The month before the window
+    is kept, because the previous month-end's scores belong to it. A filter on
+    the timestamp alone skips row groups, but lists and opens every file.
+    """
+    around = DayWindow(window.start - timedelta(days=1), window.end)
+    if df.schema[month_column].dataType == T.StringType():
+        first, last = around.month_keys()[0], around.month_keys()[-1]
+    else:
+        first, last = around.start.replace(day=1), around.end
+    return df.where(F.col(month_column).between(F.lit(first), F.lit(last)))
+
+
 def read_tables(
     spark: SparkSession,
     locations: Mapping[str, str],
     names: Mapping[str, Mapping[str, str]] | None = None,
+    month_columns: Mapping[str, str] | None = None,
+    window: DayWindow | None = None,
 ) -> Tables:
     """Read the given tables: a location with a '/' is a Parquet path, any other
-    one a catalog table. ``names`` is the vocabulary (see ``schemas``)."""
+    one a catalog table. ``names`` is the vocabulary (see ``schemas``).
+
+    For tables laid out by month, ``month_columns`` names their partition
+    columns, and only the partitions around ``window`` are read.
+    """
     frames = {}
     for table, location in locations.items():
         df = spark.read.parquet(location) if "/" in location else spark.table(location)
+        if window is not None and table in (month_columns or {}):
+            df = prune_months(df, month_columns[table], window)
         df = conform(df, table, (names or {}).get(table))
         frames[table] = require(df, table, *_KEYS[table])
     return Tables(**frames)

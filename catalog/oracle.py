@@ -748,37 +748,55 @@ add(
     excluded=excluded(YEAR),
     calls=calls(YEAR),
 )
-add(
-    "kpi_rates",
-    "managed activity daily",
-    f"""SELECT month_year, risk_bucket, assigned_customers, rpc_customers,
-               agreement_customers, realized_recovery,
-               {_half_up('rpc_customers * 100', 'assigned_customers', 2)}
-                   AS rpc_contact_rate_pct,
-               {_half_up('agreement_customers * 100', 'rpc_customers', 2)}
-                   AS agreement_conversion_rate_pct
-        FROM (SELECT c.month_year, c.risk_bucket,
-                     count(DISTINCT c.customer_id) AS assigned_customers,
-                     count(DISTINCT c.customer_id) FILTER (a.total_contacts > 0)
-                         AS rpc_customers,
-                     count(DISTINCT c.customer_id) FILTER (a.total_agreements > 0)
-                         AS agreement_customers,
-                     CAST(coalesce(sum(r.paid), 0) AS DOUBLE) AS realized_recovery
-              FROM (SELECT customer_id, month_year, risk_bucket, min(record_date) AS since
-                    FROM managed GROUP BY ALL) c
-              LEFT JOIN activity a USING (customer_id, month_year)
-              LEFT JOIN (SELECT m.customer_id, m.month_year, m.risk_bucket,
-                                sum(d.paid_amount) AS paid
-                         FROM (SELECT customer_id, month_year, risk_bucket,
-                                      min(record_date) AS since
-                               FROM managed GROUP BY ALL) m
-                         JOIN daily d ON d.customer_id = m.customer_id
-                                     AND d.month_year = m.month_year
-                                     AND d.payment_date >= m.since
-                         GROUP BY ALL) r USING (customer_id, month_year, risk_bucket)
-              GROUP BY ALL)""",
-)
+
+# A customer's payments count once per bucket, from its first record date there.
+KPIS = f"""
+    SELECT month_year, risk_bucket, assigned_customers, rpc_customers,
+           agreement_customers, realized_recovery,
+           {_half_up('rpc_customers * 100', 'assigned_customers', 2)}
+               AS rpc_contact_rate_pct,
+           {_half_up('agreement_customers * 100', 'rpc_customers', 2)}
+               AS agreement_conversion_rate_pct
+    FROM (SELECT c.month_year, c.risk_bucket,
+                 count(DISTINCT c.customer_id) AS assigned_customers,
+                 count(DISTINCT c.customer_id) FILTER (a.total_contacts > 0)
+                     AS rpc_customers,
+                 count(DISTINCT c.customer_id) FILTER (a.total_agreements > 0)
+                     AS agreement_customers,
+                 CAST(coalesce(sum(r.paid), 0) AS DOUBLE) AS realized_recovery
+          FROM bucket_customers c
+          LEFT JOIN activity a USING (customer_id, month_year)
+          LEFT JOIN (SELECT m.customer_id, m.month_year, m.risk_bucket,
+                            sum(d.paid_amount) AS paid
+                     FROM bucket_customers m
+                     JOIN daily d ON d.customer_id = m.customer_id
+                                 AND d.month_year = m.month_year
+                                 AND d.payment_date >= m.since
+                     GROUP BY ALL) r USING (customer_id, month_year, risk_bucket)
+          GROUP BY ALL)"""
+DERIVED["bucket_customers"] = """
+    SELECT customer_id, month_year, risk_bucket, min(record_date) AS since
+    FROM managed GROUP BY ALL"""
+NEEDS["bucket_customers"] = ["managed"]
+add("kpi_rates", "bucket_customers activity daily", KPIS)
 _ROLLING = DayWindow(date(1995, 1, 1), date(2001, 12, 31))
+_KPI_CELLS = ", ".join(
+    f"max(value) FILTER (month_year = '{m}') AS \"{m}\"" for m in _ROLLING.month_keys()
+)
+add(
+    "rolling_kpis",
+    "bucket_customers activity daily",
+    f"""SELECT risk_bucket, kpi, {_KPI_CELLS}
+        FROM (SELECT month_year, risk_bucket,
+                     CAST(assigned_customers AS DOUBLE) AS assigned_customers,
+                     rpc_contact_rate_pct, agreement_conversion_rate_pct,
+                     realized_recovery
+              FROM ({KPIS}))
+             UNPIVOT INCLUDE NULLS (value FOR kpi IN (
+                 assigned_customers, rpc_contact_rate_pct,
+                 agreement_conversion_rate_pct, realized_recovery))
+        GROUP BY risk_bucket, kpi""",
+)
 add(
     "rolling_months_pivot",
     "managed",

@@ -476,6 +476,12 @@ def kpi_rates(t):
     return a.kpis_by_month(t, WHOLE)
 
 
+@query
+def rolling_kpis(t):
+    """The KPIs over all months of the data."""
+    return a.rolling_kpis(t, SPAN.end, 84, WHOLE)
+
+
 @single_id_query
 def funnel_rates(t):
     return metrics.kpi_rates(a.funnel_counts(t, FUNNEL))
