@@ -36,7 +36,7 @@ from arrearly.operators.payments import daily_payments, post_assignment_recovery
 from arrearly.operators.portfolio import managed_accounts  # noqa: E402
 from arrearly.operators.scores import scores_by_month  # noqa: E402
 from arrearly.sources.schemas import SCHEMAS  # noqa: E402
-from catalog.fixtures import FUNNEL, PIVOT, WHOLE, single_id, star_tables  # noqa: E402
+from catalog.fixtures import FUNNEL, PIVOT, WHOLE, StarTables, single_id  # noqa: E402
 
 HOT_CUSTOMER = 7
 
@@ -123,7 +123,7 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    source = star_tables(spark, args.sf_dir)
+    source = StarTables(spark, args.sf_dir)
     sizes = {}
     for table in SCHEMAS:
         hot = args.hot and table != "third_party"

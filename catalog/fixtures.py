@@ -7,14 +7,13 @@ expressions stand in ``oracle.py`` for DuckDB.
 
 from __future__ import annotations
 
-from dataclasses import replace
 from datetime import date
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arrearly import DayWindow, Settings, Tables
-from arrearly.sources.tables import conform
 
 # The whole span of the test data; 13 months of it for the month pivots; one
 # month for the funnel.
@@ -148,23 +147,27 @@ def exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def star_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    makers = {
-        "portfolio": portfolio,
-        "third_party": third_party,
-        "interactions": interactions,
-        "scores": scores,
-        "payments": payments,
-        "exposure": exposure,
-    }
-    return Tables(**{n: conform(make(spark, sf_dir), n) for n, make in makers.items()})
+class StarTables:
+    """The input tables over one folder, each built when it is first used."""
 
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._source = (spark, sf_dir)
 
-def single_id(tables: Tables) -> Tables:
+    portfolio = cached_property(lambda self: portfolio(*self._source))
+    third_party = cached_property(lambda self: third_party(*self._source))
+    interactions = cached_property(lambda self: interactions(*self._source))
+    scores = cached_property(lambda self: scores(*self._source))
+    payments = cached_property(lambda self: payments(*self._source))
+    exposure = cached_property(lambda self: exposure(*self._source))
+
+
+def single_id(tables: Tables | StarTables) -> Tables:
     """Customer ids as account ids: the funnel's sources share one id space."""
     customer = F.expr("account_id div 10")
-    return replace(
-        tables,
+    return Tables(
         portfolio=tables.portfolio.withColumn("account_id", customer),
+        third_party=tables.third_party,
         interactions=tables.interactions.withColumn("account_id", customer),
+        payments=tables.payments,
+        exposure=tables.exposure,
     )

@@ -22,8 +22,8 @@ from catalog.fixtures import (
     SPAN,
     WHOLE,
     YEAR,
+    StarTables,
     single_id,
-    star_tables,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +47,7 @@ def _register(build, adapt):
         return comparable(build(adapt(tables)))
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return on_tables(star_tables(spark, sf_dir))
+        return on_tables(StarTables(spark, sf_dir))
 
     BUILDERS[build.__name__] = on_tables
     QUERIES[build.__name__] = run

@@ -15,7 +15,7 @@ from arrearly.operators.activity import (
 )
 from arrearly.operators.portfolio import managed_accounts
 from arrearly.params import AGREEMENT_CODES, RPC_CODES, rolling_months
-from catalog.fixtures import FUNNEL, PIVOT, WHOLE, single_id, star_tables
+from catalog.fixtures import FUNNEL, PIVOT, WHOLE, StarTables, single_id
 from conftest import rows
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -23,7 +23,7 @@ SF_DIR = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="module")
 def tables(spark):
-    return star_tables(spark, SF_DIR)
+    return StarTables(spark, SF_DIR)
 
 
 def column(df, name):

@@ -5,6 +5,7 @@ import pytest
 from arrearly import read_tables
 from arrearly.sources.schemas import CORE_NAMES, DIRECTORY_NAMES, SCHEMAS, STAGING_NAMES
 from arrearly.sources.tables import conform
+from catalog.fixtures import StarTables
 
 
 def test_every_vocabulary_maps_to_canonical_columns():
@@ -60,3 +61,10 @@ def test_read_tables_names_missing_columns(spark, random_tables):
     random_tables.third_party.drop("channel").createOrReplaceTempView("no_channel")
     with pytest.raises(ValueError, match="channel"):
         read_tables(spark, {"third_party": "no_channel"})
+
+
+def test_fixture_has_the_canonical_schema(spark):
+    star = StarTables(spark, "/root/testdata/sf0.001")
+    for table, schema in SCHEMAS.items():
+        found = {f.name: f.dataType for f in getattr(star, table).schema.fields}
+        assert found == {f.name: f.dataType for f in schema.fields}
