@@ -6,13 +6,15 @@ closed ranges) falls into the last band. The docstrings name the cases.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- Fixed values: band labels --------------------------------------------
+AGE_BRACKETS = ("1. < 25 years", "2. 25-40 years", "3. 41-60 years", "4. > 60 years")
+AGE_BRACKETS_SHORT = ("1. < 25 yrs", "2. 25-40 yrs", "3. 41-60 yrs", "4. > 60 yrs")
 SATURATION_LOW = "Low Saturation (<20%)"
 SATURATION_MEDIUM = "Medium Saturation (20-60%)"
 SATURATION_HIGH = "High Saturation (>60%)"
@@ -52,14 +54,14 @@ def age_years(birth: Column | str, on: Column | str) -> Column:
     return F.round(F.datediff(on, birth) / F.lit(365.25), 0).cast("int")
 
 
-def age_bracket(age: Column | str, unit: str = "years") -> Column:
+def age_bracket(age: Column | str, labels: Sequence[str] = AGE_BRACKETS) -> Column:
     """Four brackets; an unknown age falls in the last one."""
     n = _col(age)
     return (
-        F.when(n < 25, f"1. < 25 {unit}")
-        .when(n.between(25, 40), f"2. 25-40 {unit}")
-        .when(n.between(41, 60), f"3. 41-60 {unit}")
-        .otherwise(f"4. > 60 {unit}")
+        F.when(n < 25, labels[0])
+        .when(n.between(25, 40), labels[1])
+        .when(n.between(41, 60), labels[2])
+        .otherwise(labels[3])
     )
 
 

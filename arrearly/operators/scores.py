@@ -87,7 +87,7 @@ def attach_score_bands(
     )
     return (
         accounts.join(counts, CUSTOMER_MONTH, "left")
-        .select(*[accounts[c] for c in accounts.columns], F.inline(bands))
+        .select(*accounts.columns, F.inline(bands))
         .where("score_rows > 0")
     )
 

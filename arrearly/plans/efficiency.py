@@ -243,7 +243,9 @@ def predictive_efficiency(
         _accounts(tables, settings)
         .withColumn(
             "rango_edad",
-            bands.age_bracket(bands.age_years("birth_date", "record_date"), "yrs"),
+            bands.age_bracket(
+                bands.age_years("birth_date", "record_date"), bands.AGE_BRACKETS_SHORT
+            ),
         )
         .select(
             *KEYS, "risk_bucket", "rango_edad", "balance", "income", "model_efficiency"

@@ -29,47 +29,53 @@ class Tables:
 
 _INTEGERS = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType())
 _TIMES = (T.DateType(), T.TimestampType(), T.TimestampNTZType())
+# Money may be wider than the canonical type: with up to 20 digits before the
+# point, sums and counts of it still fit a decimal.
+_WHOLE_DIGITS = 20
 
 
-def _accepted(found: T.DataType, wanted: T.DataType) -> bool:
-    """True if ``found`` may stand for ``wanted`` without losing a value."""
+def _cast_to(found: T.DataType, wanted: T.DataType) -> T.DataType | None:
+    """The type to read a column as, or None if a value could be lost."""
     if found == wanted:
-        return True
+        return found
     if found in _INTEGERS and wanted in _INTEGERS:
-        return _INTEGERS.index(found) < _INTEGERS.index(wanted)
+        return wanted if _INTEGERS.index(found) < _INTEGERS.index(wanted) else None
     if isinstance(found, T.DecimalType) and isinstance(wanted, T.DecimalType):
-        return (
-            found.scale <= wanted.scale
-            and found.precision - found.scale <= wanted.precision - wanted.scale
-        )
-    # Instants are compared with days only, so any time type will do as it is.
-    return wanted == T.TimestampNTZType() and found in _TIMES
+        whole = found.precision - found.scale
+        if found.scale > wanted.scale or whole > _WHOLE_DIGITS:
+            return None
+        whole = max(whole, wanted.precision - wanted.scale)
+        return T.DecimalType(whole + wanted.scale, wanted.scale)
+    if found in _TIMES and wanted in _TIMES:
+        # Of a date column only the day counts; instants may be of any kind.
+        return wanted if wanted == T.DateType() else found
+    return None
 
 
 def conform(df: DataFrame, table: str, names: Mapping[str, str] | None = None) -> DataFrame:
     """Rename to the canonical names and check every known column's type.
 
-    Narrower integers and decimals are widened; any other type is an error.
-    Unknown columns stay: a whole-row DISTINCT must see them, and Catalyst
-    prunes them where nothing does.
+    Narrower integers and decimals are widened, timestamps for dates are cut to
+    the day; a type that could lose values is an error. Unknown columns stay: a
+    whole-row DISTINCT must see them, and Catalyst prunes them where nothing does.
     """
     df = df.withColumnsRenamed(dict(names or {}))
     wanted = {f.name: f.dataType for f in SCHEMAS[table].fields}
-    wrong, widened = [], {}
+    wrong, casts = [], {}
     for field in df.schema.fields:
-        target = wanted.get(field.name)
-        if target is None or field.dataType == target:
+        if field.name not in wanted:
             continue
-        if not _accepted(field.dataType, target):
+        target = _cast_to(field.dataType, wanted[field.name])
+        if target is None:
             wrong.append(
                 f"{field.name} is {field.dataType.simpleString()}, "
-                f"not {target.simpleString()}"
+                f"not {wanted[field.name].simpleString()}"
             )
-        elif target != T.TimestampNTZType():
-            widened[field.name] = F.col(field.name).cast(target)
+        elif target != field.dataType:
+            casts[field.name] = F.col(field.name).cast(target)
     if wrong:
         raise TypeError(f"{table}: {'; '.join(wrong)}")
-    return df.withColumns(widened) if widened else df
+    return df.withColumns(casts) if casts else df
 
 
 def require(df: DataFrame, table: str, *columns: str) -> DataFrame:

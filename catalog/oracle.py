@@ -132,11 +132,12 @@ BUCKET = "CASE WHEN past_due BETWEEN 1 AND 6 OR past_due < 0 THEN past_due WHEN
 AGE = "CAST(round((record_date - birth_date) / 365.25) AS INTEGER)"
 
 
-def _age_bracket(age: str, unit: str) -> str:
+def _age_bracket(age: str, labels=b.AGE_BRACKETS) -> str:
+    young, second, third, old = labels
     return (
-        f"CASE WHEN {age} IS NULL OR {age} > 60 THEN '4. > 60 {unit}'"
-        f" WHEN {age} > 40 THEN '3. 41-60 {unit}'"
-        f" WHEN {age} >= 25 THEN '2. 25-40 {unit}' ELSE '1. < 25 {unit}' END"
+        f"CASE WHEN {age} IS NULL OR {age} > 60 THEN '{old}'"
+        f" WHEN {age} > 40 THEN '{third}'"
+        f" WHEN {age} >= 25 THEN '{second}' ELSE '{young}' END"
     )
 
 
@@ -512,7 +513,7 @@ def _mix(name: str, **columns: str) -> None:
     )
 
 
-_mix("age_bracket_mix", customer_age=AGE, age_bracket=_age_bracket(AGE, "years"))
+_mix("age_bracket_mix", customer_age=AGE, age_bracket=_age_bracket(AGE))
 _mix("saturation_mix", saturation_range=SATURATION)
 _mix("recency_mix", contact_recency_range=RECENCY)
 _mix("reason_mix", non_payment_reason_code="coalesce(reason_code, 0)")
@@ -632,7 +633,7 @@ for _name, _paid, _customers in (
                    {EFFICIENCY} AS real_efficiency_pct
             FROM (SELECT m.customer_id, m.risk_bucket, m.balance,
                          coalesce(reason_code, 0) AS non_payment_reason_code,
-                         {AGE} AS age, {_age_bracket(AGE, 'years')} AS age_bracket,
+                         {AGE} AS age, {_age_bracket(AGE)} AS age_bracket,
                          {SATURATION} AS saturation_range,
                          {RECENCY} AS contact_recency_range,
                          coalesce(p.total_paid_amount, 0) AS recovered_amount
@@ -649,7 +650,7 @@ for _name, _mesh in (("p04", "full_mesh"), ("p04_net", "net_mesh")):
                    count(DISTINCT customer_id) AS total_customers,
                    {_mean('income', 6)} AS avg_monthly_income, {TOTALS},
                    {EFFICIENCY} AS real_efficiency_pct
-            FROM (SELECT *, {_age_bracket(AGE, 'years')} AS age_bracket,
+            FROM (SELECT *, {_age_bracket(AGE)} AS age_bracket,
                          {CONTACTABILITY} AS contactability_tier,
                          {LOAD} AS financial_load_tier
                   FROM {_mesh})
@@ -660,7 +661,7 @@ for _name, _mesh in (("p07", "full_mesh"), ("p07_net", "net")):
     add(
         _name,
         _mesh,
-        f"""SELECT risk_bucket AS bucket_mora, {_age_bracket(AGE, 'yrs')} AS rango_edad,
+        f"""SELECT risk_bucket AS bucket_mora, {_age_bracket(AGE, b.AGE_BRACKETS_SHORT)} AS rango_edad,
                    count(DISTINCT customer_id) AS total_clientes,
                    {_mean('income', 2)} AS ingreso_promedio,
                    {_mean('model_efficiency', 2)} AS eficiencia_teorica_pct,

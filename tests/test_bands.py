@@ -30,7 +30,8 @@ def test_age_bracket(spark):
         "1. < 25 years", "2. 25-40 years", "2. 25-40 years", "3. 41-60 years",
         "3. 41-60 years", "4. > 60 years", "4. > 60 years",
     ]
-    assert apply(spark, "n int", [(30,)], bands.age_bracket("n", "yrs")) == ["2. 25-40 yrs"]
+    short = bands.age_bracket("n", bands.AGE_BRACKETS_SHORT)
+    assert apply(spark, "n int", [(30,)], short) == ["2. 25-40 yrs"]
 
 
 def test_age_is_rounded(spark):

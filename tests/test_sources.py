@@ -25,11 +25,26 @@ def test_conform_renames_widens_and_keeps_unknown_columns(spark):
     assert dict(got.dtypes)["load_ts"] == "date"
 
 
+@pytest.mark.parametrize(
+    ("table", "ddl", "read_as"),
+    [
+        ("payments", "amount decimal(18,2)", "decimal(18,2)"),
+        ("payments", "amount decimal(9,0)", "decimal(12,2)"),
+        ("interactions", "outcome_code smallint", "int"),
+        ("scores", "cutoff_date timestamp_ntz", "date"),
+        ("portfolio", "load_ts timestamp", "timestamp"),
+    ],
+)
+def test_conform_widens(spark, table, ddl, read_as):
+    df = conform(spark.createDataFrame([], ddl), table)
+    assert df.dtypes == [(ddl.split()[0], read_as)]
+
+
 @pytest.mark.parametrize(
     ("table", "ddl"),
     [
         ("payments", "amount double"),
-        ("payments", "amount decimal(14,2)"),
+        ("payments", "amount decimal(24,2)"),
         ("payments", "amount decimal(12,4)"),
         ("interactions", "outcome_code bigint"),
         ("third_party", "load_ts string"),
