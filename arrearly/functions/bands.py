@@ -12,6 +12,8 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from arrearly.functions.rounding import percent
+
 # --- Fixed values: band labels --------------------------------------------
 AGE_BRACKETS = ("1. < 25 years", "2. 25-40 years", "3. 41-60 years", "4. > 60 years")
 AGE_BRACKETS_SHORT = ("1. < 25 yrs", "2. 25-40 yrs", "3. 41-60 yrs", "4. > 60 yrs")
@@ -91,7 +93,7 @@ def financial_load(balance: Column | str, income: Column | str) -> Column:
 
 
 def financial_load_pct(balance: Column | str, income: Column | str) -> Column:
-    return F.round(financial_load(balance, income) * 100, 2)
+    return percent(_col(balance), _col(income))
 
 
 def financial_load_tier(balance: Column | str, income: Column | str) -> Column:

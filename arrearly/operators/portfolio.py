@@ -59,6 +59,10 @@ def first_of_month_snapshot(
                 "risk_bucket": risk_bucket("past_due"),
             }
         )
+        # Neither is ever NULL here. Stated, because an inner join adds these
+        # filters and an outer or anti-join does not, and only equal plans are
+        # computed once when a query uses the snapshot twice.
+        .where("customer_id IS NOT NULL AND month IS NOT NULL")
     )
 
 

@@ -111,3 +111,10 @@ def test_call_filters_pass_the_distinct(tables):
     # All columns are read: the DISTINCT compares whole rows.
     for column in SCHEMAS["interactions"].names:
         assert column in calls
+
+
+def test_snapshot_is_computed_once(tables):
+    """The scored and the unscored part of score_attach share one snapshot."""
+    text = physical(BUILDERS["score_attach"](tables))
+    assert text.count("WindowGroupLimit") == 2
+    assert "ReusedExchange" in text
