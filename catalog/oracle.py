@@ -106,6 +106,10 @@ def _month(ts: str) -> str:
     return f"strftime({ts}, '%Y-%m')"
 
 
+def _text(column: str) -> str:
+    return f"CAST({column} AS VARCHAR) AS {column.split('.')[-1]}"
+
+
 def _half_up(num: str, den: str, digits: int) -> str:
     """Non-negative quotient, rounded half up in whole numbers."""
     return (
@@ -128,7 +132,10 @@ def _mean(column: str, digits: int) -> str:
     )
 
 
-BUCKET = "CASE WHEN past_due BETWEEN 1 AND 6 OR past_due < 0 THEN past_due WHEN past_due = 0 THEN 1 ELSE 7 END"
+BUCKET = (
+    "CASE WHEN past_due BETWEEN 1 AND 6 OR past_due < 0 THEN past_due"
+    " WHEN past_due = 0 THEN 1 ELSE 7 END"
+)
 AGE = "CAST(round((record_date - birth_date) / 365.25) AS INTEGER)"
 
 
@@ -330,8 +337,8 @@ def sql(name: str, inputs: dict[str, str] = INPUTS) -> str:
 add(
     "snapshot_first_of_month",
     "snapshot",
-    """SELECT account_id, customer_id, load_id, record_date, month_year, risk_bucket,
-              CAST(balance AS DOUBLE) AS balance FROM snapshot""",
+    f"""SELECT account_id, customer_id, load_id, {_text('record_date')}, month_year,
+              risk_bucket, CAST(balance AS DOUBLE) AS balance FROM snapshot""",
 )
 add(
     "risk_bucket_counts",
@@ -347,7 +354,7 @@ add(
 add(
     "month_key_volume",
     "portfolio",
-    f"""SELECT {_month('load_ts')} AS month_year, last_day(load_ts) AS month_end,
+    f"""SELECT {_month('load_ts')} AS month_year, CAST(last_day(load_ts) AS VARCHAR) AS month_end,
                count(*) AS loads, CAST(sum(balance) AS DOUBLE) AS balance
         FROM portfolio GROUP BY ALL""",
 )
@@ -408,21 +415,24 @@ add(
 
 PROMISES = """(SELECT DISTINCT customer_id, kind, outcome_code, agent_id, call_day,
                      least(last_day(call_day),
-                           CAST(call_day + coalesce(term_weeks * 7, 99) AS DATE)) AS promise_end_date
+                           CAST(call_day + coalesce(term_weeks * 7, 99) AS DATE))
+                         AS promise_end_date
               FROM calls)"""
 add(
     "non_system_calls",
     "calls",
     f"""SELECT customer_id, count(*) AS n_calls,
-               count(*) FILTER (outcome_code <> {WHOLE.system_code}) > 0 AS dialed,
-               count(*) FILTER (outcome_code IN {_in(RPC_CODES)}) > 0 AS rpc,
-               count(*) FILTER (outcome_code IN {_in(AGREEMENT_CODES)}) > 0 AS agreed
+               CAST(count(*) FILTER (outcome_code <> {WHOLE.system_code}) > 0 AS INTEGER)
+                   AS dialed,
+               CAST(count(*) FILTER (outcome_code IN {_in(RPC_CODES)}) > 0 AS INTEGER) AS rpc,
+               CAST(count(*) FILTER (outcome_code IN {_in(AGREEMENT_CODES)}) > 0 AS INTEGER)
+                   AS agreed
         FROM {PROMISES} GROUP BY ALL""",
 )
 add(
     "promise_end_dates",
     "calls",
-    f"""SELECT call_day, promise_end_date, count(*) AS calls
+    f"""SELECT {_text('call_day')}, {_text('promise_end_date')}, count(*) AS calls
         FROM {PROMISES} GROUP BY ALL""",
 )
 add(
@@ -441,7 +451,7 @@ add(
 add(
     "daily_payments",
     "daily",
-    """SELECT customer_id, payment_date, month_year,
+    f"""SELECT customer_id, {_text('payment_date')}, month_year,
               CAST(paid_amount AS DOUBLE) AS paid_amount FROM daily""",
 )
 add(
@@ -454,14 +464,14 @@ add(
 add(
     "post_assignment_recovery",
     "recovery",
-    """SELECT account_id, month_year, record_date, payment_date,
+    f"""SELECT account_id, month_year, {_text('record_date')}, {_text('payment_date')},
               CAST(balance AS DOUBLE) AS balance,
               CAST(recovered_amount AS DOUBLE) AS recovered_amount FROM recovery""",
 )
 add(
     "post_assignment_recovery_net",
     "net",
-    """SELECT account_id, customer_id, month_year, record_date,
+    f"""SELECT account_id, customer_id, month_year, {_text('record_date')},
               CAST(balance AS DOUBLE) AS balance,
               CAST(recovered_amount AS DOUBLE) AS recovered_amount FROM net""",
 )
@@ -470,18 +480,20 @@ add(
 
 SCORE_LIST = ", ".join(
     f"CAST(s.{c} AS DOUBLE) AS {c}"
-    for c in ("contact_score", "agreement_score", "payment_score", "general_score")
+    for c in (
+        "contact_score", "agreement_score", "payment_score", "general_score", "payment_rank",
+    )
 )
 add(
     "score_attach",
     "managed month_scores",
-    f"""SELECT m.account_id, m.customer_id, m.month_year, {SCORE_LIST}, s.payment_rank
+    f"""SELECT m.account_id, m.customer_id, m.month_year, {SCORE_LIST}
         FROM managed m LEFT JOIN month_scores s USING (customer_id, month_year)""",
 )
 add(
     "score_attach_previous_month",
     "managed month_scores",
-    f"""SELECT m.account_id, m.customer_id, m.month_year, {SCORE_LIST}, s.payment_rank
+    f"""SELECT m.account_id, m.customer_id, m.month_year, {SCORE_LIST}
         FROM managed m
         LEFT JOIN month_scores s
                ON s.customer_id = m.customer_id
@@ -491,13 +503,14 @@ add(
 add(
     "score_row_counts",
     "month_scores",
-    """SELECT customer_id, month_year, payment_rank, count(*) AS score_rows
+    """SELECT customer_id, month_year, CAST(payment_rank AS DOUBLE) AS payment_rank,
+              count(*) AS score_rows
        FROM month_scores GROUP BY ALL""",
 )
 add(
     "latest_scores",
     "latest",
-    f"SELECT customer_id, month_year, {SCORE_LIST}, s.payment_rank FROM latest s",
+    f"SELECT customer_id, month_year, {SCORE_LIST} FROM latest s",
 )
 
 # --- bands --------------------------------------------------------------------------------------
@@ -513,7 +526,7 @@ def _mix(name: str, **columns: str) -> None:
     )
 
 
-_mix("age_bracket_mix", customer_age=AGE, age_bracket=_age_bracket(AGE))
+_mix("age_bracket_mix", customer_age=f"CAST({AGE} AS DOUBLE)", age_bracket=_age_bracket(AGE))
 _mix("saturation_mix", saturation_range=SATURATION)
 _mix("recency_mix", contact_recency_range=RECENCY)
 _mix("reason_mix", non_payment_reason_code="coalesce(reason_code, 0)")

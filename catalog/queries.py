@@ -55,13 +55,13 @@ def _register(build, adapt):
 
 
 def comparable(df: DataFrame) -> DataFrame:
-    """Decimals as doubles, so that both engines return the same type."""
+    """Types that every client of both engines reads alike: decimals and numbers
+    that may be NULL as doubles, dates as text, flags as integers."""
+    targets = {T.DecimalType: "double", T.DateType: "string", T.BooleanType: "int"}
+    casts = {f.name: targets.get(type(f.dataType)) for f in df.schema.fields}
+    casts |= {name: "double" for name in ("payment_rank", "customer_age") if name in casts}
     return df.withColumns(
-        {
-            f.name: F.col(f"`{f.name}`").cast("double")
-            for f in df.schema.fields
-            if isinstance(f.dataType, T.DecimalType)
-        }
+        {name: F.col(f"`{name}`").cast(to) for name, to in casts.items() if to}
     )
 
 
