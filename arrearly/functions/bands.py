@@ -12,6 +12,7 @@ from decimal import Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from arrearly.functions.calendar import days_between
 from arrearly.functions.rounding import percent
 
 # --- Fixed values: band labels --------------------------------------------
@@ -53,7 +54,7 @@ def reason_or_zero(code: Column | str) -> Column:
 
 def age_years(birth: Column | str, on: Column | str) -> Column:
     """Whole years, rounded. A day count is never halfway between two ages."""
-    return F.round(F.datediff(on, birth) / F.lit(365.25), 0).cast("int")
+    return F.round(days_between(birth, on) / F.lit(365.25), 0).cast("int")
 
 
 def age_bracket(age: Column | str, labels: Sequence[str] = AGE_BRACKETS) -> Column:
@@ -79,7 +80,7 @@ def saturation_range(pct: Column | str) -> Column:
 
 def contact_recency_range(last_contact: Column | str, on: Column | str) -> Column:
     """A contact after ``on`` is Recent; no contact is No Recent."""
-    n = F.datediff(on, last_contact)
+    n = days_between(last_contact, on)
     return (
         F.when(n <= 7, RECENCY_RECENT)
         .when(n.between(8, 30), RECENCY_MODERATE)

@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 
 from arrearly.functions.bands import outcome_category, promise_end_date, strip_check_digit
 from arrearly.functions.calendar import day, month_start
+from arrearly.operators.keys import CUSTOMER_MONTH
 from arrearly.params import DayWindow
 
-CUSTOMER_MONTH = ["customer_id", "month"]
-
 
 def distinct_interactions(interactions: DataFrame) -> DataFrame:
     """Events without exact copies. Every column of the table takes part, also

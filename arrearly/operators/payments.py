@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arrearly.functions.calendar import day, month_start
+from arrearly.operators.keys import CUSTOMER_MONTH
 from arrearly.params import DayWindow
 
-CUSTOMER_MONTH = ["customer_id", "month"]
-
 
 def account_payments(
     payments: DataFrame, kind: str, window: DayWindow, whole_last_day: bool = False

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arrearly.functions.calendar import month_start
+from arrearly.operators.keys import CUSTOMER_MONTH
 from arrearly.params import DayWindow
 
-CUSTOMER_MONTH = ["customer_id", "month"]
 SCORE_COLUMNS = [
     "contact_score", "agreement_score", "payment_score", "general_score", "payment_rank",
 ]

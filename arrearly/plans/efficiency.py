@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from arrearly.functions import bands
 from arrearly.functions.rounding import mean
+from arrearly.operators.keys import CUSTOMER_MONTH
 from arrearly.operators.metrics import efficiency_mesh
 from arrearly.operators.payments import (
     attach_portfolio_payments,
@@ -22,7 +23,6 @@ from arrearly.operators.payments import (
 )
 from arrearly.operators.portfolio import managed_accounts
 from arrearly.operators.scores import (
-    CUSTOMER_MONTH,
     ROW_COUNT,
     attach_score_bands,
     attach_score_counts,

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arrearly.operators.activity import CUSTOMER_MONTH, agreements, contacted_customers
+from arrearly.operators.activity import agreements, contacted_customers
+from arrearly.operators.keys import CUSTOMER_MONTH
 from arrearly.operators.metrics import month_pivot
 from arrearly.operators.portfolio import managed_accounts, with_month_year
 from arrearly.params import DIRECTORY, STAGING, Settings, spanish_month_label

@@ -125,13 +125,17 @@ def read_tables(
     one a catalog table. ``names`` is the vocabulary (see ``schemas``).
 
     For tables laid out by month, ``month_columns`` names their partition
-    columns, and only the partitions around ``window`` are read.
+    columns, and only the partitions around ``window`` are read. The partition
+    column is dropped: it is not a part of the row for a whole-row DISTINCT.
     """
     frames = {}
     for table, location in locations.items():
         df = spark.read.parquet(location) if "/" in location else spark.table(location)
-        if window is not None and table in (month_columns or {}):
-            df = prune_months(df, month_columns[table], window)
+        month_column = (month_columns or {}).get(table)
+        if month_column:
+            if window is not None:
+                df = prune_months(df, month_column, window)
+            df = df.drop(month_column)
         df = conform(df, table, (names or {}).get(table))
         frames[table] = require(df, table, *_KEYS[table])
     return Tables(**frames)

@@ -36,10 +36,10 @@ def spark(tmp_path_factory):
 def frame(spark):
     """A canonical table from dicts; columns not given are NULL."""
 
-    def make(table: str, rows: list[dict]):
+    def make(table: str, *dicts: dict):
         schema = SCHEMAS[table]
         return spark.createDataFrame(
-            [tuple(r.get(n) for n in schema.names) for r in rows], schema
+            [tuple(r.get(n) for n in schema.names) for r in dicts], schema
         )
 
     return make

@@ -201,3 +201,18 @@ def test_whole_last_day(random_tables):
     published = sum(column(a.demographic_efficiency(random_tables, settings), total))
     whole = sum(column(a.demographic_efficiency(random_tables, corrected), total))
     assert published != whole
+
+
+def test_session_time_zone_does_not_matter(spark, random_tables):
+    """Times without zone: no result depends on where the session runs."""
+    analyses = [
+        lambda: a.consolidated_efficiency(random_tables, WHOLE),
+        lambda: a.kpis_by_month(random_tables, WHOLE),
+        lambda: a.monthly_funnel(single_id(random_tables), FUNNEL),
+    ]
+    utc = [rows(analysis()) for analysis in analyses]
+    spark.conf.set("spark.sql.session.timeZone", "America/Mexico_City")
+    try:
+        assert [rows(analysis()) for analysis in analyses] == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")

@@ -1,7 +1,6 @@
 from datetime import date, datetime
 from decimal import Decimal
 
-import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -11,22 +10,10 @@ from arrearly.operators.portfolio import (
     first_of_month_snapshot,
     third_party_exclusions,
 )
-from arrearly.sources.schemas import SCHEMAS
 
 JUNE = DayWindow(date(2026, 6, 1), date(2026, 6, 30))
 
 
-@pytest.fixture
-def frame(spark):
-    def make(table, *dicts):
-        schema = SCHEMAS[table]
-        return spark.createDataFrame(
-            [tuple(r.get(n) for n in schema.names) for r in dicts], schema
-        )
-
-    return make
-
-
 def load(account, load_id, day, balance=1, hour=0, **more):
     return dict(
         account_id=account,

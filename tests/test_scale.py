@@ -69,6 +69,7 @@ def test_read_tables_prunes(spark, make_tables, tmp_path):
     read = a.read_tables(
         spark, locations, month_columns={"payments": "part", "portfolio": "part"}, window=later
     )
+    assert "part" not in read.payments.columns
     assert 0 < read.payments.count() < tables.payments.count()
     assert read.third_party.count() == tables.third_party.count()
 
