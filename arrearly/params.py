@@ -100,6 +100,9 @@ class Settings:
     # Third-party loads and payments are windowed on the raw timestamp by
     # default, so intraday rows of the last day fall outside.
     whole_last_day: bool = False
+    # 0: a month's accounts meet the scores cut off in that month, i.e. at its
+    # end. 1: they meet the scores of the month before.
+    score_lag_months: int = 0
 
     def during(self, window: DayWindow) -> "Settings":
         return replace(self, window=window)

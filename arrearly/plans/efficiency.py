@@ -7,7 +7,7 @@ day. That is the default. The ``net`` variants count each balance once.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arrearly.functions import bands
@@ -49,14 +49,18 @@ def _accounts(tables: Tables, settings: Settings) -> DataFrame:
     return managed_accounts(tables.portfolio, tables.third_party, settings)
 
 
-def _weighted(column: str):
+def _scores(tables: Tables, settings: Settings) -> DataFrame:
+    return scores_by_month(tables.scores, settings.window, settings.score_lag_months)
+
+
+def _weighted(column: str) -> Column:
     return F.col(column) * F.col("score_rows")
 
 
 def score_mesh(tables: Tables, settings: Settings, net: bool = False) -> DataFrame:
     """Accounts with payment rank, number of score rows and recovery."""
     accounts = _accounts(tables, settings).select(*KEYS, "risk_bucket", "balance")
-    scores = scores_by_month(tables.scores, settings.window)
+    scores = _scores(tables, settings)
     if net:
         ranked = accounts.join(
             latest_scores(scores).select(*CUSTOMER_MONTH, "payment_rank"),
@@ -170,7 +174,7 @@ def consolidated_mesh(
             "financial_load_tier",
         )
     )
-    scores = scores_by_month(tables.scores, settings.window)
+    scores = _scores(tables, settings)
     tier = bands.contactability_tier("contact_score")
     if net:
         one = latest_scores(scores).select(*CUSTOMER_MONTH, "contact_score")
@@ -257,12 +261,12 @@ def predictive_efficiency(
             _daily(tables, settings),
         )
     else:
-        scores = scores_by_month(tables.scores, settings.window)
+        scores = _scores(tables, settings)
         mesh = post_assignment_recovery(
             attach_score_counts(accounts, score_counts(scores)), _daily(tables, settings)
         )
 
-    def rows_with(column: str):
+    def rows_with(column: str) -> Column:
         return F.sum(F.when(F.col(column).isNotNull(), F.col("score_rows")))
 
     return (

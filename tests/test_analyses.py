@@ -203,6 +203,25 @@ def test_whole_last_day(random_tables):
     assert published != whole
 
 
+def test_score_lag_setting(random_tables):
+    """Another month's scores regroup the same accounts and payments."""
+    lagged = a.Settings(**{**WHOLE.__dict__, "score_lag_months": 1})
+    tiers = [
+        {
+            r.category: r.total_customers
+            for r in a.score_efficiency(random_tables, settings, net=True).collect()
+            if r.analysis_type == "By Predictive Score"
+        }
+        for settings in (WHOLE, lagged)
+    ]
+    assert tiers[0] != tiers[1]
+    buckets = [
+        [tuple(r) for r in a.score_efficiency(random_tables, settings, net=True).collect()][-7:]
+        for settings in (WHOLE, lagged)
+    ]
+    assert buckets[0] == buckets[1]
+
+
 def test_session_time_zone_does_not_matter(spark, random_tables):
     """Times without zone: no result depends on where the session runs."""
     analyses = [
