@@ -37,25 +37,7 @@ from arrearly.operators.payments import daily_payments, post_assignment_recovery
 from arrearly.operators.portfolio import managed_accounts  # noqa: E402
 from arrearly.operators.scores import scores_by_month  # noqa: E402
 from arrearly.sources.schemas import SCHEMAS  # noqa: E402
-from catalog.fixtures import FUNNEL, PIVOT, WHOLE, StarTables, single_id  # noqa: E402
-
-HOT_CUSTOMER = 7
-
-
-def copied(df: DataFrame, copies: int, hot: bool, files: int) -> DataFrame:
-    """``df`` once per copy; copy c holds the customers c million and up."""
-    account = "account_id" in df.columns
-    key, unit = ("account_id", 10) if account else ("customer_id", 1)
-    shifted = F.col(key) + F.col("copy") * 1_000_000 * unit
-    if hot:
-        digit = F.col(key) % unit
-        shifted = F.when(F.col("copy") % 3 == 0, HOT_CUSTOMER * unit + digit).otherwise(shifted)
-    every = F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))
-    df = df.withColumn("copy", F.explode(every))
-    if "load_id" in df.columns:
-        df = df.withColumn("load_id", F.col("load_id") + F.col("copy") * 100_000_000)
-    return df.withColumn(key, shifted).drop("copy").repartition(files)
-
+from catalog.fixtures import FUNNEL, PIVOT, WHOLE, StarTables, copied, single_id  # noqa: E402
 
 def literal_scores(t: a.Tables) -> DataFrame:
     """Every score row and payment day joined, then summed."""
@@ -131,8 +113,8 @@ def main() -> None:
     sizes = {}
     for table in SCHEMAS:
         hot = args.hot and table != "third_party"
-        df = copied(getattr(source, table), args.copies, hot, 32)
-        df.write.parquet(f"{scratch}/{table}")
+        df = copied(getattr(source, table), args.copies, hot)
+        df.repartition(32).write.parquet(f"{scratch}/{table}")
         sizes[table] = spark.read.parquet(f"{scratch}/{table}").count()
     t = a.read_tables(spark, {table: f"{scratch}/{table}" for table in SCHEMAS})
     analyses = {

@@ -171,3 +171,21 @@ def single_id(tables: Tables | StarTables) -> Tables:
         payments=tables.payments,
         exposure=tables.exposure,
     )
+
+
+HOT_CUSTOMER = 7
+
+
+def copied(df: DataFrame, copies: int, hot: bool) -> DataFrame:
+    """An input table ``copies`` times; copy c holds the customers c million and
+    up. ``hot`` gives every third copy to one single customer."""
+    key, unit = ("account_id", 10) if "account_id" in df.columns else ("customer_id", 1)
+    every = F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))
+    df = df.withColumn("copy", F.explode(every))
+    shifted = F.col(key) + F.col("copy") * 1_000_000 * unit
+    if hot:
+        digit = F.col(key) % unit
+        shifted = F.when(F.col("copy") % 3 == 0, HOT_CUSTOMER * unit + digit).otherwise(shifted)
+    if "load_id" in df.columns:
+        df = df.withColumn("load_id", F.col("load_id") + F.col("copy") * 100_000_000)
+    return df.withColumn(key, shifted).drop("copy")

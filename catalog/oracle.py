@@ -727,9 +727,12 @@ add(
     f"""SELECT c.*, n.exigible_total_monto
         FROM (SELECT risk_bucket AS mora_bucket, {STAGE_LIST}
               FROM ({FUNNEL_ROWS}) GROUP BY risk_bucket) c
-        JOIN (SELECT risk_bucket AS mora_bucket, CAST(sum(due) AS DOUBLE)
+        JOIN (SELECT risk_bucket AS mora_bucket, CAST(sum({DUE}) AS DOUBLE)
                          AS exigible_total_monto
-              FROM (SELECT DISTINCT risk_bucket, account_id, due FROM ({FUNNEL_ROWS}))
+              FROM snapshot s
+              LEFT JOIN exposure f ON f.customer_id = s.account_id
+                                  AND f.snapshot_date = DATE '{EXPOSURE_DATE}'
+              WHERE s.account_id NOT IN (SELECT customer_id FROM excluded)
               GROUP BY risk_bucket) n USING (mora_bucket)""",
     **FUNNEL_TABLES,
 )

@@ -7,8 +7,10 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from arrearly import read_tables
 from arrearly.sources.schemas import SCHEMAS
 from catalog import oracle
+from catalog.fixtures import StarTables, copied
 from catalog.queries import BUILDERS
 
 SF_DIR = Path(os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001"))
@@ -61,3 +63,23 @@ def test_random_tables(random_case, name):
     tables, con = random_case
     inputs = {table: f"SELECT * FROM {table}_rows" for table in SCHEMAS}
     compare(BUILDERS[name](tables), con.execute(oracle.sql(name, inputs)))
+
+
+@pytest.fixture(scope="module")
+def hot_copies(spark, tmp_path_factory):
+    """Six copies of the smallest test tables; one customer has a third of the
+    rows of every table but the exclusions, which would remove that customer."""
+    folder = tmp_path_factory.mktemp("hot")
+    source = StarTables(spark, "/root/testdata/sf0.001")
+    for table in SCHEMAS:
+        df = copied(getattr(source, table), 6, hot=table != "third_party")
+        df.repartition(4).write.parquet(str(folder / table))
+    tables = read_tables(spark, {table: str(folder / table) for table in SCHEMAS})
+    inputs = {t: f"SELECT * FROM read_parquet('{folder}/{t}/*.parquet')" for t in SCHEMAS}
+    return tables, inputs
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_hot_customer(hot_copies, name):
+    tables, inputs = hot_copies
+    compare(BUILDERS[name](tables), duckdb.execute(oracle.sql(name, inputs)))
