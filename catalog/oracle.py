@@ -56,15 +56,15 @@ INPUTS = {
                l_returnflag AS payment_kind
         FROM ({_LINES})""",
     "interactions": f"""
+        SELECT * EXCLUDE (copy) FROM (
         SELECT o_custkey * 10 + l_linenumber % 3 AS account_id,
                line_ts AS start_ts,
                l_linestatus AS kind,
                CAST(nullif(l_partkey % 41, 40) AS INTEGER) AS outcome_code,
                l_suppkey AS agent_id,
-               nullif(CAST(l_quantity AS INTEGER) % 6, 5) AS term_weeks
-        FROM ({_LINES})
-        CROSS JOIN (VALUES (1), (2)) AS copies(n)
-        WHERE n = 1 OR l_returnflag = 'R'""",
+               nullif(CAST(l_quantity AS INTEGER) % 6, 5) AS term_weeks,
+               unnest(CASE WHEN l_returnflag = 'R' THEN [1, 2] ELSE [1] END) AS copy
+        FROM ({_LINES}))""",
     "scores": """
         SELECT o_custkey AS customer_id,
                last_day(o_orderdate) AS cutoff_date,
@@ -81,9 +81,8 @@ INPUTS = {
                CAST(CASE WHEN c_custkey % 5 = 0 THEN c_acctbal
                          ELSE c_acctbal + c_custkey % 300 END AS DECIMAL(12,2))
                    AS current_balance,
-               snapshot_date
-        FROM customer CROSS JOIN
-             (VALUES (DATE '1996-04-30'), (DATE '1996-05-31')) AS days(snapshot_date)""",
+               unnest([DATE '1996-04-30', DATE '1996-05-31']) AS snapshot_date
+        FROM customer""",
 }
 
 
