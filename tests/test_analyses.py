@@ -1,5 +1,6 @@
 """Row order, published columns, settings, and relations between results."""
 
+from dataclasses import replace
 from datetime import date
 
 import pytest
@@ -196,7 +197,7 @@ def test_whole_last_day(random_tables):
     """The corrected window admits the last day's intraday payments."""
     window = a.DayWindow(date(1996, 5, 1), date(1996, 6, 15))
     settings = WHOLE.during(window)
-    corrected = a.Settings(**{**settings.__dict__, "whole_last_day": True})
+    corrected = replace(settings, whole_last_day=True)
     total = "total_recovered_amount"
     published = sum(column(a.demographic_efficiency(random_tables, settings), total))
     whole = sum(column(a.demographic_efficiency(random_tables, corrected), total))
@@ -205,7 +206,7 @@ def test_whole_last_day(random_tables):
 
 def test_score_lag_setting(random_tables):
     """Another month's scores regroup the same accounts and payments."""
-    lagged = a.Settings(**{**WHOLE.__dict__, "score_lag_months": 1})
+    lagged = replace(WHOLE, score_lag_months=1)
     tiers = [
         {
             r.category: r.total_customers
