@@ -61,25 +61,26 @@ def _repeated_words(w: Column) -> Column:
 
     The windows are sorted with their positions, so equal ones are neighbours.
     Zips and the sort are whole-array functions; the one lambda that runs for
-    every window compares neighbours. A
+    every window compares neighbours and mostly ends at the first word. A
     repeated window at position p covers p..p+2: from one repeated window to
     the next it adds the distance between them, at most three words.
     """
     n = F.size(w) - 2
     windows = F.arrays_zip(
-        F.arrays_zip(F.slice(w, 1, n), F.slice(w, 2, n), F.slice(w, 3, n)),
-        F.sequence(F.lit(0), n - 1),
+        F.slice(w, 1, n), F.slice(w, 2, n), F.slice(w, 3, n), F.sequence(F.lit(0), n - 1)
     )
 
     def neighbours(s: Column) -> Column:
         return F.filter(
             F.arrays_zip(F.slice(s, 1, n - 1), F.slice(s, 2, n - 1)),
-            lambda p: p["0"]["0"] == p["1"]["0"],
+            lambda p: (p["0"]["0"] == p["1"]["0"])
+            & (p["0"]["1"] == p["1"]["1"])
+            & (p["0"]["2"] == p["1"]["2"]),
         )
 
     def starts(twice: Column) -> Column:
         both = F.concat(
-            F.transform(twice, lambda p: p["0"]["1"]), F.transform(twice, lambda p: p["1"]["1"])
+            F.transform(twice, lambda p: p["0"]["3"]), F.transform(twice, lambda p: p["1"]["3"])
         )
         return F.sort_array(F.array_distinct(both))
 
