@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The six ASCII white-space characters, for trim() and for a Java pattern.
@@ -77,6 +81,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+CHUNK_BYTES = 1 << 19  # texts are hashed together up to so many bytes
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
+
+
 def _powers(n: int, base: np.uint64) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[:1] = 1
@@ -87,35 +97,55 @@ class Words:
     """Splits texts into words of a byte class and hashes every word.
 
     The text is lower-cased (A-Z) first. A hash is a polynomial of random byte
-    values, taken for all words at once from running sums.
+    values, taken for all words of a chunk of texts at once from running sums.
     """
 
     def __init__(self, word_bytes: np.ndarray) -> None:
-        self._is_word = word_bytes
-        self._up = _powers(1 << 12, _BASE)
-        self._down = _powers(1 << 12, _INVERSE)
-
-    def spans(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Byte offsets where words start and end."""
-        inside = np.zeros(len(data) + 2, dtype=np.int8)
-        inside[1:-1] = self._is_word[np.frombuffer(data, dtype=np.uint8)]
-        step = np.diff(inside)
-        return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+        self._is_word = word_bytes[_LOWER]
+        self._value = _BYTE_VALUE[_LOWER]
+        self._up = self._down = np.empty(0, dtype=np.uint64)
+
+    def _hashes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words and the offsets where they start."""
+        inside = np.zeros(len(data) + 2, dtype=bool)
+        inside[1:-1] = self._is_word[data]
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        start, end = edges[::2], edges[1::2]
+        if len(data) > len(self._up):
+            self._up = _powers(max(len(data), CHUNK_BYTES), _BASE)
+            self._down = _powers(max(len(data), CHUNK_BYTES), _INVERSE)
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(self._value[data] * self._up[: len(data)], out=sums[1:])
+        size = (end - start).astype(np.uint64)
+        return mix((sums[end] - sums[start]) * self._down[start] + size), start
 
     def hashes(self, text: str | None) -> np.ndarray:
         """One number per word, in text order; none for NULL."""
-        if not text:
-            return np.empty(0, dtype=np.uint64)
-        data = text.encode("utf-8", "surrogatepass").lower()
-        start, end = self.spans(data)
-        if len(data) > len(self._up):
-            self._up = _powers(2 * len(data), _BASE)
-            self._down = _powers(2 * len(data), _INVERSE)
-        sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(
-            _BYTE_VALUE[np.frombuffer(data, dtype=np.uint8)] * self._up[: len(data)], out=sums[1:]
-        )
-        return mix((sums[end] - sums[start]) * self._down[start] + (end - start).astype(np.uint64))
+        data = (text or "").encode("utf-8", "surrogatepass")
+        return self._hashes(np.frombuffer(data, dtype=np.uint8))[0]
+
+    def each(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The word hashes of every text of an Arrow column, in order.
+
+        Neighbouring texts are hashed together, each followed by a byte that is
+        in no word, so that short texts cost no calls of their own.
+        """
+        chunk: list[bytes] = []
+        size = 0
+        for value in texts:
+            raw = value.as_buffer() if value.is_valid else None
+            chunk.append(raw.to_pybytes() if raw is not None else b"")
+            size += len(chunk[-1])
+            if size >= CHUNK_BYTES:
+                yield from self._together(chunk)
+                chunk, size = [], 0
+        yield from self._together(chunk)
+
+    def _together(self, chunk: list[bytes]) -> Iterator[np.ndarray]:
+        if chunk:
+            h, start = self._hashes(np.frombuffer(b" ".join(chunk), dtype=np.uint8))
+            ends = np.cumsum([len(x) + 1 for x in chunk])
+            yield from np.split(h, np.searchsorted(start, ends[:-1]))
 
 
 def grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -128,3 +158,24 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
         out *= np.uint64(0xD6E8FEB86659FD93)
         out += hashes[i : i + count]
     return mix(out)
+
+
+def appended(
+    df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch], list[pa.Array]]
+) -> DataFrame:
+    """``df`` with the columns ``compute`` derives from each Arrow batch.
+
+    ``fields`` is a schema string. Columns of ``df`` with those names are
+    replaced; rows stay in place, so no shuffle is needed.
+    """
+    new = StructType.fromDDL(fields)
+    df = df.drop(*new.names)
+    names = [*df.columns, *new.names]
+    types = [f.type for f in to_arrow_schema(new)]
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            made = [a.cast(t) for a, t in zip(compute(batch), types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+
+    return df.mapInArrow(batches, StructType([*df.schema.fields, *new.fields]))
