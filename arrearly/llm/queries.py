@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrearly.llm import decontaminate, near_dup, quality_rules
-from arrearly.llm.common import documents
+from arrearly.llm import decontaminate, near_dup, pu_quality, quality_rules
+from arrearly.llm.common import documents, fold_of
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,10 +42,21 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op10_pu_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = pu_quality.training_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    fold = fold_of(F.col("doc_id"), pu_quality.FOLDS)
+    held_out = F.coalesce(fold == pu_quality.HELD_OUT, F.lit(False))
+    return pu_quality.classify(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", "predicted"
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_pu_quality_classifier": op10_pu_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
