@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrearly.llm import decontaminate, near_dup, pu_quality, quality_rules
+from arrearly.llm import bpe, decontaminate, near_dup, ngram_lm, pu_quality, quality_rules
 from arrearly.llm.common import documents, fold_of
 
 
@@ -25,6 +25,24 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks, pattern = bpe.vocabulary()
+    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), ranks, pattern), ranks)
+    return bpe.ids_sha256(decoded).select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op5_ngram_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learned = fold_of(F.col("doc_id"), 7) != 2
+    docs = documents(spark, sf_dir).select("doc_id", "text", learned.alias("learned"))
+    scored = ngram_lm.score_texts(docs, "learned")
+    held_out = F.coalesce(fold_of(F.col("doc_id"), 7) == 2, F.lit(False))
+    return scored.withColumn("held_out", held_out).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
@@ -54,6 +72,8 @@ def op10_pu_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_byte_level_bpe": op2_byte_level_bpe,
+    "op5_ngram_lm_scoring": op5_ngram_lm_scoring,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_pu_quality_classifier": op10_pu_quality_classifier,
