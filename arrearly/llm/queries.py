@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrearly.llm import bpe, decontaminate, near_dup, ngram_lm, pu_quality, quality_rules
+from arrearly.llm import bpe, decontaminate, licenses, near_dup, ngram_lm, pu_quality, quality_rules
 from arrearly.llm.common import documents, fold_of
 
 
@@ -43,6 +43,30 @@ def op5_ngram_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    starts = F.transform("base", lambda d: d["start"])
+    base = F.transform("base", lambda d: d["label"])
+    every = F.concat(base, F.transform("licenses", lambda d: d["label"]))
+    weights = F.concat(
+        F.transform("base", lambda d: d["weight"]), F.transform("licenses", lambda d: d["weight"])
+    )
+
+    def listed(labels: Column) -> Column:
+        return F.array_join(F.sort_array(F.array_distinct(labels)), ",")
+
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        listed(base).alias("base_labels"),
+        listed(every).alias("labels"),
+        F.coalesce(F.array_max(weights), F.lit(0.0)).alias("score"),
+    )
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
@@ -74,6 +98,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_level_bpe": op2_byte_level_bpe,
     "op5_ngram_lm_scoring": op5_ngram_lm_scoring,
+    "op6_license_scan": op6_license_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_pu_quality_classifier": op10_pu_quality_classifier,
