@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrearly.llm import bpe, decontaminate, licenses, near_dup, ngram_lm, pu_quality, quality_rules
-from arrearly.llm.common import documents, fold_of
+from arrearly.llm import bpe, decontaminate, html_text, licenses, near_dup, ngram_lm, pu_quality, quality_rules, warc
+from arrearly.llm.common import documents, fold_of, shared_folder
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,13 @@ def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_text.extract(pages.select("page_id", "html")).select(
+        "page_id", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op5_ngram_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = fold_of(F.col("doc_id"), 7) != 2
     docs = documents(spark, sf_dir).select("doc_id", "text", learned.alias("learned"))
@@ -67,6 +74,33 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    warc.write_archives(warc.page_records(pages), path)
+    stored = warc.read_archives(spark, path).where("record_type = 'response'")
+    revisits = warc.read_archives(
+        spark, path, "record_type string, record_id string, refers_to string, "
+        "payload_digest string, payload_length string"
+    ).where("record_type = 'revisit'")
+    # A response is measured as it was read; a revisit has what its headers say.
+    return stored.select(
+        warc.page_id("record_id").alias("page_id"),
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        warc.base32_sha1(F.col("payload")).alias("payload_digest"),
+        "record_type",
+        F.lit(None).cast("long").alias("refers_to"),
+    ).union(
+        revisits.select(
+            warc.page_id("record_id"),
+            F.col("payload_length").cast("long"),
+            F.regexp_replace("payload_digest", "^sha1:", ""),
+            "record_type",
+            warc.page_id("refers_to"),
+        )
+    )
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(documents(spark, sf_dir))
 
@@ -97,8 +131,10 @@ def op10_pu_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_level_bpe": op2_byte_level_bpe,
+    "op3_html_extraction": op3_html_extraction,
     "op5_ngram_lm_scoring": op5_ngram_lm_scoring,
     "op6_license_scan": op6_license_scan,
+    "op7_warc_round_trip": op7_warc_round_trip,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_pu_quality_classifier": op10_pu_quality_classifier,
