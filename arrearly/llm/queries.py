@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrearly.llm import bpe, decontaminate, html_text, licenses, near_dup, ngram_lm, pu_quality, quality_rules, warc
+from arrearly.llm import bpe, decontaminate, html_text, licenses, near_dup, ngram_lm, pii, pu_quality, quality_rules, warc
 from arrearly.llm.common import documents, fold_of, shared_folder
 
+# Whoever runs this on real data passes a secret of their own.
+PII_KEY = "surrogates of the test tables"
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
@@ -40,6 +43,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.pseudonymize(docs, PII_KEY).select("doc_id", "text", "n_entities")
+
+
 def op5_ngram_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = fold_of(F.col("doc_id"), 7) != 2
     docs = documents(spark, sf_dir).select("doc_id", "text", learned.alias("learned"))
@@ -132,6 +140,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_level_bpe": op2_byte_level_bpe,
     "op3_html_extraction": op3_html_extraction,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op5_ngram_lm_scoring": op5_ngram_lm_scoring,
     "op6_license_scan": op6_license_scan,
     "op7_warc_round_trip": op7_warc_round_trip,
