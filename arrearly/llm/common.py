@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +43,22 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-llm-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors share."""
+    """A new folder below ``spark.checkpoint.dir``, which all executors share.
+
+    Where that is unset, local mode (one machine, as in tests) has a folder of its
+    own; a cluster has to name one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_folder()
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
