@@ -33,8 +33,10 @@ from pyspark.sql.types import StructType
 
 from arrearly.llm.common import written
 
-#: Tokens after which a block is closed. One text is never divided.
-BLOCK_TOKENS = 4_000_000
+#: Tokens after which a block is closed; texts are not divided.
+BLOCK_TOKENS = 2_000_000
+#: Texts that are cut into tokens at a time.
+_TEXTS = 64
 _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
@@ -99,8 +101,8 @@ def _block(rows: pa.Table, sizes: np.ndarray, tokens: pa.ChunkedArray, n_buckets
     encoded = tokens.combine_chunks().dictionary_encode()
     raw = encoded.indices.to_numpy(zero_copy_only=False)
     by_count = np.argsort(-np.bincount(raw, minlength=len(encoded.dictionary)), kind="stable")
-    number = np.empty(len(by_count), dtype=np.int64)
-    number[by_count] = np.arange(len(by_count))
+    number = np.empty(len(by_count), dtype=np.int32)
+    number[by_count] = np.arange(len(by_count), dtype=np.int32)
     codes = number[raw]
     words = encoded.dictionary.take(pa.array(by_count)).to_pylist()
     counted = np.repeat(np.array(rows.column("counted").to_pylist(), dtype=bool), sizes)
@@ -135,7 +137,8 @@ def blocks(
     counted: str | None = None,
     block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
-    """The block table of ``docs``, written to the shared folder.
+    """The block table of ``docs``, written to the shared folder and dealt by block, so
+    that answers are moved to the blocks and not the blocks to them.
 
     ``tokenize`` turns an Arrow column into all its tokens (binary) and their
     number per row. ``counted`` names a boolean column. The number of buckets
@@ -164,26 +167,20 @@ def blocks(
             return pa.RecordBatch.from_pylist([made], schema=arrow)
 
         for batch in it:
-            # Cut where the tokens reach the size of a block, between texts.
-            found, size = tokenize(batch.column(len(kept) + 1))
-            ends = np.cumsum(size)
-            at = 0
-            while at < batch.num_rows:
-                before = ends[at - 1] if at else 0
-                upto = int(np.searchsorted(ends, before + block_tokens - total, "left")) + 1
-                upto = min(max(upto, at + 1), batch.num_rows)
-                rows.append(batch.slice(at, upto - at).select(list(range(len(kept) + 1))))
-                sizes.append(size[at:upto])
-                tokens.append(found.slice(before, ends[upto - 1] - before))
-                total += ends[upto - 1] - before
-                at = upto
+            for at in range(0, batch.num_rows, _TEXTS):
+                part = batch.slice(at, _TEXTS)
+                found, size = tokenize(part.column(len(kept) + 1))
+                rows.append(part.select(list(range(len(kept) + 1))))
+                sizes.append(size)
+                tokens.append(found)
+                total += len(found)
                 if total >= block_tokens:
                     yield closed()
                     rows, sizes, tokens, total = [], [], [], 0
         if rows:
             yield closed()
 
-    return written(source.mapInArrow(pieces, schema))
+    return written(source.mapInArrow(pieces, schema), bucket_by="block")
 
 
 def dealt_words(table: DataFrame) -> DataFrame:

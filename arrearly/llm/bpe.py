@@ -40,11 +40,26 @@ def read_ranks(path: str) -> Ranks:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
+def _merged_short(piece: bytes, ranks: Ranks) -> list[int]:
+    """Looks at all pairs for every merge: for a few bytes that is quickest."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    none = 1 << 62
+    while True:
+        pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
+        low = min(pairs, default=none)
+        if low == none:
+            return [ranks[p] for p in parts]
+        i = pairs.index(low)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
 def merged(piece: bytes, ranks: Ranks) -> list[int]:
     """The ids of one pre-token: again and again the pair of lowest rank is merged,
     the leftmost of equals. A heap keeps long pieces near-linear."""
     if piece in ranks:
         return [ranks[piece]]
+    if len(piece) <= 24:
+        return _merged_short(piece, ranks)
     n = len(piece)
     end = list(range(1, n + 1))  # of the part that starts here; 0 once swallowed
     before = list(range(-1, n - 1))

@@ -62,15 +62,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, bucket_by: str | None = None) -> DataFrame:
     """``df`` computed once into a table of the shared folder.
 
     It cuts the lineage, survives lost executors, and fixes the rows for all
-    later reads.
+    later reads. With ``bucket_by`` the files are dealt by that column, so that a
+    join or cogroup on it needs no shuffle of this side.
     """
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_folder(df.sparkSession)
+    if bucket_by is None:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"llm_{uuid.uuid4().hex}"
+    df.write.bucketBy(n, bucket_by).option("path", path).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files are an external table's
+    return table
 
 
 # --- words of one text as 64-bit numbers ------------------------------------
