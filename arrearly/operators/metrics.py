@@ -140,12 +140,12 @@ def kpi_rates(counts: DataFrame) -> DataFrame:
 def monthly_kpis(accounts: DataFrame) -> DataFrame:
     """Assigned, contacted and agreeing customers and realized recovery per month
     and bucket, with the rates. ``accounts`` has one row per account, with the
-    call counts and the recovered amount. A customer's payments count once per
-    bucket, from the first record date on (that account's sum holds them all)."""
+    call counts and the net recovery: a customer's payments of a month count once,
+    in the bucket of its first account."""
     per_customer = accounts.groupBy("customer_id", "month", "risk_bucket").agg(
         F.max(F.col("total_contacts") > 0).alias("rpc"),
         F.max(F.col("total_agreements") > 0).alias("agreed"),
-        F.min_by("recovered_amount", "record_date").alias("recovered_amount"),
+        F.sum("recovered_amount").alias("recovered_amount"),
     )
     return kpi_rates(
         per_customer.groupBy("month", "risk_bucket").agg(
@@ -177,5 +177,5 @@ def kpi_pivot(kpis: DataFrame, months: Sequence[str]) -> DataFrame:
         .unpivot(["month_year", "risk_bucket"], names, "kpi", "value")
         .groupBy("risk_bucket", "kpi")
         .pivot("month_year", list(months))
-        .agg(F.first("value"))
+        .agg(F.max("value"))
     )

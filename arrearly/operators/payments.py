@@ -103,14 +103,40 @@ def post_assignment_recovery(accounts: DataFrame, daily: DataFrame) -> DataFrame
     )
 
 
-def net_recovery(accounts: DataFrame, daily: DataFrame) -> DataFrame:
-    """As ``post_assignment_recovery``, but one row per account with the sum, so
-    that the balance counts once. ``accounts`` must have unique rows.
+def recovery_by_account(accounts: DataFrame, daily: DataFrame) -> DataFrame:
+    """One row per account with ``n_days``, the days of ``post_assignment_recovery``,
+    and the sum of their payments. ``accounts`` must have unique rows.
 
     The grouping contains the join keys, so it needs no further shuffle.
     """
     return (
         post_assignment_recovery(accounts, daily)
         .groupBy(*accounts.columns)
-        .agg(F.sum("recovered_amount").alias("recovered_amount"))
+        .agg(
+            F.count("payment_date").alias("n_days"),
+            F.sum("recovered_amount").alias("recovered_amount"),
+        )
+    )
+
+
+def paid_once(accounts: DataFrame, amount: str) -> DataFrame:
+    """``amount`` at the first account of each customer-month, 0 at the others.
+
+    The first account has the earliest record date, then the smallest id, so an
+    amount that covers the days since then holds all that the others hold. At
+    most ten rows form a group, and joins by customer-month have dealt them so.
+    """
+    first = Window.partitionBy(*CUSTOMER_MONTH).orderBy("record_date", "account_id")
+    return (
+        accounts.withColumn("_place", F.row_number().over(first))
+        .withColumn(amount, F.when(F.col("_place") == 1, F.col(amount)).otherwise(F.lit(0)))
+        .drop("_place")
     )
+
+
+def net_recovery(accounts: DataFrame, daily: DataFrame) -> DataFrame:
+    """One row per account with the payments since its record date, each payment
+    once: a customer-month's are those since its first record date, and they
+    stand at the account that has it. The balance counts once, too.
+    """
+    return paid_once(recovery_by_account(accounts, daily).drop("n_days"), "recovered_amount")

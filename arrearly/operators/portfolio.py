@@ -24,7 +24,9 @@ def first_of_month_snapshot(
     The filters run before the ranking: a load outside the window or without a
     balance can not be the first one. Loads of the same day are ordered by
     ``tie_breakers`` (default: ``load_id``, else every other column), so the
-    choice does not depend on row order.
+    choice does not depend on row order. A caller that uses few columns passes
+    those: a tie on all of them can not change its result, and no other column
+    is read.
 
     ``rn = 1`` directly above the ranking lets Spark limit each group to one
     row in every map task, so an account with very many loads sends at most one
@@ -108,9 +110,17 @@ def managed_accounts(
     require_balance: bool = True,
     strip: bool = True,
     exclusion_id: str = "customer_id",
+    used: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Snapshot without the externally managed customers: the base of every analysis."""
-    snapshot = first_of_month_snapshot(portfolio, settings.window, require_balance, strip)
+    """Snapshot without the externally managed customers: the base of every analysis.
+
+    ``used`` are the columns, beside the key and the load time, that the analysis
+    takes from a load. Without a ``load_id`` loads of one day are ordered by them.
+    """
+    ties = None if used is None or "load_id" in portfolio.columns else list(used)
+    snapshot = first_of_month_snapshot(
+        portfolio, settings.window, require_balance, strip, ties
+    )
     exclusions = third_party_exclusions(
         third_party, settings.channels, settings.window, monthly, settings.whole_last_day
     )

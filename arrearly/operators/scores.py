@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arrearly.functions.calendar import month_start
 from arrearly.operators.keys import CUSTOMER_MONTH
-from arrearly.params import DayWindow
+from arrearly.params import DayWindow, score_window
 
 SCORE_COLUMNS = [
     "contact_score", "agreement_score", "payment_score", "general_score", "payment_rank",
@@ -22,11 +20,12 @@ def scores_by_month(scores: DataFrame, window: DayWindow, lag_months: int = 0) -
     """Scores whose month meets a portfolio month of the window.
 
     As published (``lag_months=0``) a month's score, cut off at its end, meets
-    the accounts of that same month. The window opens one day early, which
-    admits the previous month-end; it meets no account unless ``lag_months=1``
-    moves every score to the following month.
+    the accounts of that same month; the window opens one day early, which
+    admits the previous month-end, and it meets no account. With a lag the
+    scores of the whole months that lie so many months earlier meet them,
+    whatever day of the month they were cut off.
     """
-    cutoffs = DayWindow(window.start - timedelta(days=1), window.end)
+    cutoffs = score_window(window, lag_months)
     return scores.where(cutoffs.by_day("cutoff_date")).withColumn(
         "month", F.add_months(month_start("cutoff_date"), lag_months)
     )

@@ -80,6 +80,17 @@ def rolling_months(end: date, n: int = 13) -> DayWindow:
     )
 
 
+def score_window(window: DayWindow, lag_months: int = 0) -> DayWindow:
+    """The cutoff days of the scores that the accounts of ``window`` can meet."""
+    if lag_months < 0:
+        raise ValueError("a score can not be cut off after the month that it meets")
+    if lag_months == 0:
+        return DayWindow(window.start - timedelta(days=1), window.end)
+    first = window.start.year * 12 + window.start.month - 1 - lag_months
+    n = len(window.month_keys())
+    return rolling_months(date((first + n - 1) // 12, (first + n - 1) % 12 + 1, 1), n)
+
+
 def spanish_month_label(month_key: str) -> str:
     year, month = month_key.split("-")
     return f"{SPANISH_MONTHS[int(month) - 1]}_{year}"
@@ -105,7 +116,10 @@ class Settings:
     score_lag_months: int = 0
 
     def during(self, window: DayWindow) -> "Settings":
-        return replace(self, window=window)
+        """The same settings for another window. The exposure, where there is one, is
+        that of the day before it."""
+        before = window.start - timedelta(days=1) if self.exposure_date else None
+        return replace(self, window=window, exposure_date=before)
 
 
 # Published defaults, one per source vocabulary.

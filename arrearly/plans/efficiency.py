@@ -2,7 +2,8 @@
 
 The published queries join accounts with score rows and payment days and sum
 the balance over the result, so a balance counts once per score row and payment
-day. That is the default. The ``net`` variants count each balance once.
+day. That is the default. The ``net`` variants count each balance once, and each
+customer's payments once, at the account with the first record date.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ from arrearly.operators.payments import (
     daily_payments,
     monthly_payments,
     net_recovery,
-    post_assignment_recovery,
+    paid_once,
+    recovery_by_account,
 )
 from arrearly.operators.portfolio import managed_accounts
 from arrearly.operators.scores import (
@@ -45,8 +47,11 @@ def _daily(tables: Tables, settings: Settings) -> DataFrame:
     )
 
 
-def _accounts(tables: Tables, settings: Settings) -> DataFrame:
-    return managed_accounts(tables.portfolio, tables.third_party, settings)
+def _accounts(tables: Tables, settings: Settings, *used: str) -> DataFrame:
+    tables.check(settings)
+    return managed_accounts(
+        tables.portfolio, tables.third_party, settings, used=("past_due", "balance", *used)
+    )
 
 
 def _scores(tables: Tables, settings: Settings) -> DataFrame:
@@ -54,11 +59,32 @@ def _scores(tables: Tables, settings: Settings) -> DataFrame:
 
 
 def _weighted(column: str) -> Column:
+    """Once per score row and payment day, as the published joins repeat it."""
+    return F.col(column) * F.col("mesh_rows")
+
+
+def _per_score(column: str) -> Column:
+    """Once per score row: the recovery of an account is the sum of its days."""
     return F.col(column) * F.col("score_rows")
 
 
+def with_mesh_rows(mesh: DataFrame) -> DataFrame:
+    """``mesh_rows``: how often the published joins repeat an account."""
+    days = F.greatest(F.col("n_days"), F.lit(1)).cast("decimal(2,0)")
+    return mesh.withColumn("mesh_rows", F.col("score_rows") * days)
+
+
+def _once(mesh: DataFrame) -> DataFrame:
+    one = F.lit(1).cast(ROW_COUNT)
+    return mesh.withColumns({"score_rows": one, "mesh_rows": one})
+
+
 def score_mesh(tables: Tables, settings: Settings, net: bool = False) -> DataFrame:
-    """Accounts with payment rank, number of score rows and recovery."""
+    """Accounts with payment rank, number of score and mesh rows and recovery.
+
+    One row per account and payment rank: payment days are summed before the
+    ranks are joined, so neither repeats the other.
+    """
     accounts = _accounts(tables, settings).select(*KEYS, "risk_bucket", "balance")
     scores = _scores(tables, settings)
     if net:
@@ -66,10 +92,10 @@ def score_mesh(tables: Tables, settings: Settings, net: bool = False) -> DataFra
             latest_scores(scores).select(*CUSTOMER_MONTH, "payment_rank"),
             CUSTOMER_MONTH,
             "left",
-        ).withColumn("score_rows", F.lit(1).cast(ROW_COUNT))
-        return net_recovery(ranked, _daily(tables, settings))
-    ranked = attach_score_counts(accounts, score_counts(scores, "payment_rank"))
-    return post_assignment_recovery(ranked, _daily(tables, settings))
+        )
+        return _once(net_recovery(ranked, _daily(tables, settings)))
+    recovered = recovery_by_account(accounts, _daily(tables, settings))
+    return with_mesh_rows(attach_score_counts(recovered, score_counts(scores, "payment_rank")))
 
 
 def score_efficiency(
@@ -91,14 +117,14 @@ def score_efficiency(
         ),
     )
     labelled = score_mesh(tables, settings, net).select(
-        F.inline(labels), "customer_id", "balance", "recovered_amount", "score_rows"
+        F.inline(labels), "customer_id", "balance", "recovered_amount", "score_rows", "mesh_rows"
     )
     return efficiency_mesh(
         labelled,
         ["analysis_type", "category"],
         F.countDistinct("customer_id").alias("total_customers"),
         balance=_weighted("balance"),
-        recovered=_weighted("recovered_amount"),
+        recovered=_per_score("recovered_amount"),
         efficiency="efficiency_percentage",
     ).orderBy(F.asc_nulls_last("analysis_type"), F.asc_nulls_last("category"))
 
@@ -107,7 +133,9 @@ def demographic_mesh(
     tables: Tables, settings: Settings = STAGING, net: bool = False
 ) -> DataFrame:
     """Accounts with age, saturation, recency and the payments of the month."""
-    accounts = _accounts(tables, settings).withColumns(
+    accounts = _accounts(
+        tables, settings, "birth_date", "saturation_pct", "last_contact_date", "reason_code"
+    ).withColumns(
         {
             "customer_age": bands.age_years("birth_date", "record_date"),
             "saturation_range": bands.saturation_range("saturation_pct"),
@@ -121,9 +149,10 @@ def demographic_mesh(
         tables.payments, settings.payment_kind, settings.window, settings.whole_last_day
     )
     if net:
-        return accounts.join(monthly, CUSTOMER_MONTH, "left").withColumn(
+        paid = accounts.join(monthly, CUSTOMER_MONTH, "left").withColumn(
             "total_paid_amount", F.coalesce("paid_amount", F.lit(0))
         )
+        return paid_once(paid, "total_paid_amount")
     return attach_portfolio_payments(accounts, monthly)
 
 
@@ -134,8 +163,8 @@ def demographic_efficiency(
 
     Payments of the whole month count, also those before the assignment. As
     published, ``total_customers`` counts accounts and payments repeat for every
-    account of a customer; ``net=True`` counts customers and joins each account
-    with its customer's payments without repeating them.
+    account of a customer; ``net=True`` counts customers, and a customer's payments
+    of the month at its first account only.
     """
     customers = F.countDistinct("customer_id") if net else F.count(F.lit(1))
     return efficiency_mesh(
@@ -160,7 +189,7 @@ def consolidated_mesh(
 ) -> DataFrame:
     """Accounts with age bracket, contactability and load tier, and recovery."""
     accounts = (
-        _accounts(tables, settings)
+        _accounts(tables, settings, "birth_date", "income", "punctuality")
         .withColumns(
             {
                 "age_bracket": bands.age_bracket(
@@ -182,11 +211,12 @@ def consolidated_mesh(
             accounts.join(one, CUSTOMER_MONTH, "left")
             .withColumn("contactability_tier", tier)
             .drop("contact_score")
-            .withColumn("score_rows", F.lit(1).cast(ROW_COUNT))
         )
-        return net_recovery(scored, _daily(tables, settings))
-    scored = attach_score_bands(accounts, scores, tier, CONTACTABILITY, "contactability_tier")
-    return post_assignment_recovery(scored, _daily(tables, settings))
+        return _once(net_recovery(scored, _daily(tables, settings)))
+    recovered = recovery_by_account(accounts, _daily(tables, settings))
+    return with_mesh_rows(
+        attach_score_bands(recovered, scores, tier, CONTACTABILITY, "contactability_tier")
+    )
 
 
 def consolidated_efficiency(
@@ -196,7 +226,7 @@ def consolidated_efficiency(
     mesh = consolidated_mesh(tables, settings, net).withColumnRenamed(
         "punctuality", "punctuality_score"
     )
-    with_income = F.when(F.col("income").isNotNull(), F.col("score_rows"))
+    with_income = F.when(F.col("income").isNotNull(), F.col("mesh_rows"))
     return (
         efficiency_mesh(
             mesh,
@@ -211,7 +241,7 @@ def consolidated_efficiency(
             F.sum(_weighted("income")).alias("income"),
             F.sum(with_income).alias("incomes"),
             balance=_weighted("balance"),
-            recovered=_weighted("recovered_amount"),
+            recovered=_per_score("recovered_amount"),
         )
         .select(
             "risk_bucket",
@@ -244,7 +274,7 @@ def predictive_efficiency(
     rows counts that many times, so their number does.
     """
     accounts = (
-        _accounts(tables, settings)
+        _accounts(tables, settings, "birth_date", "income", "model_efficiency")
         .withColumn(
             "rango_edad",
             bands.age_bracket(
@@ -256,18 +286,15 @@ def predictive_efficiency(
         )
     )
     if net:
-        mesh = net_recovery(
-            accounts.withColumn("score_rows", F.lit(1).cast(ROW_COUNT)),
-            _daily(tables, settings),
-        )
+        mesh = _once(net_recovery(accounts, _daily(tables, settings)))
     else:
-        scores = _scores(tables, settings)
-        mesh = post_assignment_recovery(
-            attach_score_counts(accounts, score_counts(scores)), _daily(tables, settings)
+        recovered = recovery_by_account(accounts, _daily(tables, settings))
+        mesh = with_mesh_rows(
+            attach_score_counts(recovered, score_counts(_scores(tables, settings)))
         )
 
     def rows_with(column: str) -> Column:
-        return F.sum(F.when(F.col(column).isNotNull(), F.col("score_rows")))
+        return F.sum(F.when(F.col(column).isNotNull(), F.col("mesh_rows")))
 
     return (
         efficiency_mesh(
@@ -279,7 +306,7 @@ def predictive_efficiency(
             F.sum(_weighted("model_efficiency")).alias("model"),
             rows_with("model_efficiency").alias("models"),
             balance=_weighted("balance"),
-            recovered=_weighted("recovered_amount"),
+            recovered=_per_score("recovered_amount"),
             efficiency="eficiencia_real_pct",
         )
         .select(

@@ -31,8 +31,12 @@ def funnel_counts(
 ) -> DataFrame:
     """Funnel stages per bucket. All sources share one id space, so no id is
     stripped, and the exclusion holds for the whole window."""
+    if settings.exposure_date is None:
+        raise ValueError("the funnel needs an exposure_date: the day of the amounts due")
+    tables.check(settings)
     accounts = managed_accounts(
-        tables.portfolio, tables.third_party, settings, monthly=False, strip=False
+        tables.portfolio, tables.third_party, settings, monthly=False, strip=False,
+        used=("past_due", "balance"),
     )
     calls = customer_calls(
         promise_calls(tables.interactions, settings.phone_kind, settings.window),
@@ -71,9 +75,16 @@ def monthly_funnel(
 def kpis_by_month(tables: Tables, settings: Settings = STAGING) -> DataFrame:
     """Assigned customers, contact rate, agreement rate and realized recovery by
     month and bucket."""
-    accounts = managed_accounts(tables.portfolio, tables.third_party, settings).select(
-        "account_id", "customer_id", "month", "record_date", "risk_bucket"
+    return _kpis(tables, settings).orderBy(
+        F.asc_nulls_last("month_year"), F.asc_nulls_last("risk_bucket")
     )
+
+
+def _kpis(tables: Tables, settings: Settings) -> DataFrame:
+    tables.check(settings)
+    accounts = managed_accounts(
+        tables.portfolio, tables.third_party, settings, used=("past_due", "balance")
+    ).select("account_id", "customer_id", "month", "record_date", "risk_bucket")
     activity = contact_activity(
         tables.interactions,
         settings.phone_kind,
@@ -88,7 +99,6 @@ def kpis_by_month(tables: Tables, settings: Settings = STAGING) -> DataFrame:
         monthly_kpis(net_recovery(attach_contact(accounts, activity), daily))
         .transform(with_month_year)
         .drop("month")
-        .orderBy(F.asc_nulls_last("month_year"), F.asc_nulls_last("risk_bucket"))
     )
 
 
@@ -99,5 +109,5 @@ def rolling_kpis(
     bucket and KPI."""
     window = rolling_months(end, n)
     return kpi_pivot(
-        kpis_by_month(tables, settings.during(window)), window.month_keys()
+        _kpis(tables, settings.during(window)), window.month_keys()
     ).orderBy(F.asc_nulls_last("risk_bucket"), "kpi")

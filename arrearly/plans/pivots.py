@@ -21,11 +21,13 @@ def assigned_by_month(
     As published the account id, check digit included, is compared with the
     excluded customer ids; ``strip=True`` compares customers with customers.
     """
+    tables.check(settings)
     accounts = managed_accounts(
         tables.portfolio,
         tables.third_party,
         settings,
         require_balance=False,
+        used=("past_due",),
         exclusion_id="customer_id" if strip else "account_id",
     )
     return month_pivot(
@@ -35,7 +37,10 @@ def assigned_by_month(
 
 def covered_customers(tables: Tables, settings: Settings = STAGING) -> DataFrame:
     """P01b: customers with a telephone event in the month, by month and bucket."""
-    accounts = managed_accounts(tables.portfolio, tables.third_party, settings)
+    tables.check(settings)
+    accounts = managed_accounts(
+        tables.portfolio, tables.third_party, settings, used=("past_due", "balance")
+    )
     contacted = contacted_customers(
         tables.interactions, settings.phone_kind, settings.window
     )
@@ -56,7 +61,10 @@ def covered_customers(tables: Tables, settings: Settings = STAGING) -> DataFrame
 def agreements_by_month(tables: Tables, settings: Settings = DIRECTORY) -> DataFrame:
     """P06: customers with an agreement, bucket x month. A bucket without any
     agreement has no row."""
-    accounts = managed_accounts(tables.portfolio, tables.third_party, settings)
+    tables.check(settings)
+    accounts = managed_accounts(
+        tables.portfolio, tables.third_party, settings, used=("past_due", "balance")
+    )
     agreed = agreements(
         tables.interactions, settings.phone_kind, settings.agreement_codes, settings.window
     )

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
-from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arrearly.params import DayWindow
+from arrearly.params import DayWindow, Settings, score_window
 from arrearly.sources.schemas import SCHEMAS
 
 
@@ -25,6 +24,24 @@ class Tables:
     scores: DataFrame | None = None
     payments: DataFrame | None = None
     exposure: DataFrame | None = None
+    # What month partitions were read for, if not all.
+    read_for: Settings | None = None
+
+    def check(self, settings: Settings) -> None:
+        """An error if the partitions that were read do not cover ``settings``: a
+        narrower read would give a shorter history without a word."""
+        if self.read_for is None:
+            return
+        window, asked = self.read_for.window, settings.window
+        if asked.start < window.start or asked.end > window.end:
+            raise ValueError(
+                f"partitions were read for {window.start} to {window.end}, "
+                f"the analysis asks for {asked.start} to {asked.end}"
+            )
+        if settings.score_lag_months > self.read_for.score_lag_months:
+            raise ValueError("scores were read for a shorter lag than the analysis asks for")
+        if self.exposure is not None and settings.exposure_date != self.read_for.exposure_date:
+            raise ValueError("exposure was read for another day than the analysis asks for")
 
 
 _INTEGERS = (T.ByteType(), T.ShortType(), T.IntegerType(), T.LongType())
@@ -99,18 +116,16 @@ _KEYS = {
 
 
 def prune_months(df: DataFrame, month_column: str, window: DayWindow) -> DataFrame:
-    """Only the month partitions that ``window`` can need.
+    """Only the month partitions that ``window`` touches.
 
     ``month_column`` is the partition column of the storage layout: the first
-    day of the month (date) or 'YYYY-MM' (string). The month before the window
-    is kept, because the previous month-end's scores belong to it. A filter on
-    the timestamp alone skips row groups, but lists and opens every file.
+    day of the month (date) or 'YYYY-MM' (string). A filter on the timestamp
+    alone skips row groups, but lists and opens every file.
     """
-    around = DayWindow(window.start - timedelta(days=1), window.end)
     if df.schema[month_column].dataType == T.StringType():
-        first, last = around.month_keys()[0], around.month_keys()[-1]
+        first, last = window.month_keys()[0], window.month_keys()[-1]
     else:
-        first, last = around.start.replace(day=1), around.end
+        first, last = window.start.replace(day=1), window.end
     return df.where(F.col(month_column).between(F.lit(first), F.lit(last)))
 
 
@@ -119,23 +134,35 @@ def read_tables(
     locations: Mapping[str, str],
     names: Mapping[str, Mapping[str, str]] | None = None,
     month_columns: Mapping[str, str] | None = None,
-    window: DayWindow | None = None,
+    settings: Settings | None = None,
 ) -> Tables:
     """Read the given tables: a location with a '/' is a Parquet path, any other
     one a catalog table. ``names`` is the vocabulary (see ``schemas``).
 
     For tables laid out by month, ``month_columns`` names their partition
-    columns, and only the partitions around ``window`` are read. The partition
-    column is dropped: it is not a part of the row for a whole-row DISTINCT.
+    columns, and only the partitions that ``settings`` need are read: the months
+    of the window, for scores those of the lag, for exposure that of its day. An
+    analysis that needs others is refused. The partition column is dropped: it
+    is not a part of the row for a whole-row DISTINCT.
     """
+    windows = {}
+    if settings is not None:
+        windows = dict.fromkeys(locations, settings.window)
+        windows["scores"] = score_window(settings.window, settings.score_lag_months)
+        if settings.exposure_date is None:
+            windows.pop("exposure", None)
+        else:
+            windows["exposure"] = DayWindow(settings.exposure_date, settings.exposure_date)
+    pruned = False
     frames = {}
     for table, location in locations.items():
         df = spark.read.parquet(location) if "/" in location else spark.table(location)
         month_column = (month_columns or {}).get(table)
         if month_column:
-            if window is not None:
-                df = prune_months(df, month_column, window)
+            if table in windows:
+                df = prune_months(df, month_column, windows[table])
+                pruned = True
             df = df.drop(month_column)
         df = conform(df, table, (names or {}).get(table))
         frames[table] = require(df, table, *_KEYS[table])
-    return Tables(**frames)
+    return Tables(**frames, read_for=settings if pruned else None)

@@ -89,9 +89,10 @@ def main() -> None:
     args.add_argument("copies", type=int)
     args.add_argument("--hot", action="store_true")
     args.add_argument("--literal", action="store_true")
+    args.add_argument("--folder", default=None, help="where the tables go; a new one in it")
     args.add_argument("--conf", action="append", default=[], help="name=value")
     args = args.parse_args()
-    scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    scratch = tempfile.mkdtemp(prefix="run-", dir=args.folder)
     os.mkdir(f"{scratch}/events")
     spark = (
         SparkSession.builder.master("local[8]")

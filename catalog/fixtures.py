@@ -122,10 +122,12 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pending orders carry no score, so some customer-months have none."""
-    return _table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").selectExpr(
+    """A pending order's score is cut off in the month after, so some
+    customer-months have none."""
+    return _table(spark, sf_dir, "orders").selectExpr(
         "o_custkey AS customer_id",
-        "last_day(o_orderdate) AS cutoff_date",
+        """last_day(add_months(o_orderdate, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END))
+           AS cutoff_date""",
         "cast(cast(o_orderkey % 201 AS decimal(5,1)) / 2 AS decimal(5,1)) AS contact_score",
         "cast(o_orderkey % 83 AS decimal(5,1)) AS agreement_score",
         "cast(o_orderkey % 79 AS decimal(5,1)) AS payment_score",
@@ -160,6 +162,9 @@ class StarTables:
     payments = cached_property(lambda self: payments(*self._source))
     exposure = cached_property(lambda self: exposure(*self._source))
 
+    def check(self, settings: Settings) -> None:
+        """Whole tables cover every window."""
+
 
 def single_id(tables: Tables | StarTables) -> Tables:
     """Customer ids as account ids: the funnel's sources share one id space."""
@@ -173,6 +178,12 @@ def single_id(tables: Tables | StarTables) -> Tables:
     )
 
 
+def replace(tables: Tables | StarTables, **frames: DataFrame) -> Tables:
+    """The same tables, some of them other ones."""
+    names = Tables.__dataclass_fields__.keys() - {"read_for"}
+    return Tables(**{n: frames.get(n, getattr(tables, n)) for n in names})
+
+
 HOT_CUSTOMER = 7
 
 

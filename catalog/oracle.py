@@ -67,13 +67,15 @@ INPUTS = {
         FROM ({_LINES}))""",
     "scores": """
         SELECT o_custkey AS customer_id,
-               last_day(o_orderdate) AS cutoff_date,
+               last_day(date_trunc('month', o_orderdate)
+                        + to_months(CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END))
+                   AS cutoff_date,
                CAST((o_orderkey % 201) * 0.5 AS DECIMAL(5,1)) AS contact_score,
                CAST(o_orderkey % 83 AS DECIMAL(5,1)) AS agreement_score,
                CAST(o_orderkey % 79 AS DECIMAL(5,1)) AS payment_score,
                CAST(o_orderkey % 73 AS DECIMAL(5,1)) AS general_score,
                CAST(o_orderkey % 12 AS INTEGER) AS payment_rank
-        FROM orders WHERE o_orderstatus <> 'P'""",
+        FROM orders""",
     "exposure": """
         SELECT c_custkey AS customer_id,
                CAST(c_acctbal AS DECIMAL(12,2)) AS overdue_balance,
@@ -177,7 +179,9 @@ DUE = (
 # --- derived tables ------------------------------------------------------------------
 
 
-def snapshot(w: DayWindow, balance: bool = True, account: str = "account_id") -> str:
+def snapshot(
+    w: DayWindow, balance: bool = True, account: str = "account_id", ties: str = "load_id"
+) -> str:
     positive = "AND balance > 0" if balance else ""
     return f"""
         SELECT *, account_id // 10 AS customer_id, {BUCKET} AS risk_bucket
@@ -186,7 +190,7 @@ def snapshot(w: DayWindow, balance: bool = True, account: str = "account_id") ->
               FROM portfolio)
         WHERE account_id > 0 {positive} AND {_by_day('load_ts', w)}
         QUALIFY row_number() OVER (PARTITION BY account_id, month_year
-                                   ORDER BY record_date, load_id) = 1"""
+                                   ORDER BY record_date, {ties}) = 1"""
 
 
 def excluded(w: DayWindow) -> str:
@@ -254,7 +258,10 @@ NET = """
            any_value(m.risk_bucket) AS risk_bucket, any_value(m.income) AS income,
            any_value(m.birth_date) AS birth_date, any_value(m.punctuality) AS punctuality,
            any_value(m.model_efficiency) AS model_efficiency,
-           coalesce(sum(d.paid_amount), 0) AS recovered_amount
+           CASE WHEN row_number() OVER (
+                         PARTITION BY any_value(m.customer_id), m.month_year
+                         ORDER BY any_value(m.record_date), m.account_id) = 1
+                THEN coalesce(sum(d.paid_amount), 0) ELSE 0 END AS recovered_amount
     FROM managed m
     LEFT JOIN daily d ON d.customer_id = m.customer_id AND d.month_year = m.month_year
                      AND d.payment_date >= m.record_date
@@ -499,6 +506,21 @@ add(
               AND {_month("date_trunc('month', s.cutoff_date) + INTERVAL 1 MONTH")}
                   = m.month_year""",
 )
+for _name, _cutoff, _lag in (
+    ("score_attach_lag2", "s.cutoff_date", 2),
+    ("score_attach_midmonth", "s.cutoff_date - 10", 1),
+):
+    _met = f"date_trunc('month', {_cutoff}) + INTERVAL {_lag} MONTH"
+    add(
+        _name,
+        "managed scores",
+        f"""SELECT m.account_id, m.customer_id, m.month_year, {SCORE_LIST}
+            FROM managed m
+            LEFT JOIN scores s ON s.customer_id = m.customer_id
+                              AND {_month(_met)} = m.month_year""",
+        snapshot=snapshot(YEAR),
+        excluded=excluded(YEAR),
+    )
 add(
     "score_row_counts",
     "month_scores",
@@ -583,6 +605,15 @@ add(
         FROM net GROUP BY ALL""",
 )
 
+_WIDE = "(2 * 100 * CAST(sum(balance) * 100 AS HUGEINT) * 1000000000000 + count(*))"
+add(
+    "wide_money_percent",
+    "snapshot",
+    f"""SELECT risk_bucket, CAST(q // 100 AS VARCHAR) || '.'
+                            || lpad(CAST(q % 100 AS VARCHAR), 2, '0') AS pct
+        FROM (SELECT risk_bucket, {_WIDE} // (2 * count(*)) AS q FROM snapshot GROUP BY ALL)""",
+)
+
 # --- full analyses -----------------------------------------------------------------------------------
 
 
@@ -603,6 +634,15 @@ for _name, _key in (("p01a", "account_id"), ("p01a_stripped", "customer_id")):
         excluded=excluded(YEAR),
         managed=managed(_key),
     )
+add(
+    "p01a_no_load_id",
+    "managed",
+    f"""SELECT risk_bucket, {_cells(YEAR, 'customer_id', str)}
+        FROM managed GROUP BY risk_bucket""",
+    snapshot=snapshot(YEAR, balance=False, ties="past_due NULLS FIRST"),
+    excluded=excluded(YEAR),
+    managed=managed("account_id"),
+)
 add(
     "p01b",
     "managed calls",
@@ -632,9 +672,12 @@ add("p02_net", "net_mesh", _p02("net_mesh"))
 MONTH_PAYMENTS = """
     SELECT customer_id, month_year, sum(paid_amount) AS total_paid_amount
     FROM daily GROUP BY ALL"""
-for _name, _paid, _customers in (
-    ("p03", "portfolio_payments", "count(*)"),
-    ("p03_net", f"({MONTH_PAYMENTS})", "count(DISTINCT customer_id)"),
+_FIRST_ACCOUNT = """CASE WHEN row_number() OVER (PARTITION BY customer_id, month_year
+                                              ORDER BY record_date, account_id) = 1
+                         THEN coalesce(p.total_paid_amount, 0) ELSE 0 END"""
+for _name, _paid, _customers, _counted in (
+    ("p03", "portfolio_payments", "count(*)", "coalesce(p.total_paid_amount, 0)"),
+    ("p03_net", f"({MONTH_PAYMENTS})", "count(DISTINCT customer_id)", _FIRST_ACCOUNT),
 ):
     add(
         _name,
@@ -648,11 +691,21 @@ for _name, _paid, _customers in (
                          {AGE} AS age, {_age_bracket(AGE)} AS age_bracket,
                          {SATURATION} AS saturation_range,
                          {RECENCY} AS contact_recency_range,
-                         coalesce(p.total_paid_amount, 0) AS recovered_amount
+                         {_counted} AS recovered_amount
                   FROM managed m
                   LEFT JOIN {_paid} p USING (customer_id, month_year))
             GROUP BY ALL""",
     )
+add(
+    "p03_no_load_id",
+    "managed portfolio_payments daily",
+    _PARTS["p03"][1],
+    snapshot=snapshot(
+        SPAN,
+        ties="past_due NULLS FIRST, balance, birth_date NULLS FIRST, saturation_pct NULLS FIRST, "
+        "last_contact_date NULLS FIRST, reason_code NULLS FIRST",
+    ),
+)
 for _name, _mesh in (("p04", "full_mesh"), ("p04_net", "net_mesh")):
     add(
         _name,
@@ -765,7 +818,7 @@ add(
     calls=calls(YEAR),
 )
 
-# A customer's payments count once per bucket, from its first record date there.
+# A customer's payments of a month count once, in the bucket of its first account.
 KPIS = f"""
     SELECT month_year, risk_bucket, assigned_customers, rpc_customers,
            agreement_customers, realized_recovery,
@@ -784,25 +837,28 @@ KPIS = f"""
           LEFT JOIN activity a USING (customer_id, month_year)
           LEFT JOIN (SELECT m.customer_id, m.month_year, m.risk_bucket,
                             sum(d.paid_amount) AS paid
-                     FROM bucket_customers m
+                     FROM (SELECT * FROM managed
+                           QUALIFY row_number() OVER (
+                               PARTITION BY customer_id, month_year
+                               ORDER BY record_date, account_id) = 1) m
                      JOIN daily d ON d.customer_id = m.customer_id
                                  AND d.month_year = m.month_year
-                                 AND d.payment_date >= m.since
+                                 AND d.payment_date >= m.record_date
                      GROUP BY ALL) r USING (customer_id, month_year, risk_bucket)
           GROUP BY ALL)"""
 DERIVED["bucket_customers"] = """
-    SELECT customer_id, month_year, risk_bucket, min(record_date) AS since
-    FROM managed GROUP BY ALL"""
+    SELECT DISTINCT customer_id, month_year, risk_bucket FROM managed"""
 NEEDS["bucket_customers"] = ["managed"]
-add("kpi_rates", "bucket_customers activity daily", KPIS)
+add("kpi_rates", "managed bucket_customers activity daily", KPIS)
 _ROLLING = DayWindow(date(1995, 1, 1), date(2001, 12, 31))
-_KPI_CELLS = ", ".join(
-    f"max(value) FILTER (month_year = '{m}') AS \"{m}\"" for m in _ROLLING.month_keys()
-)
-add(
-    "rolling_kpis",
-    "bucket_customers activity daily",
-    f"""SELECT risk_bucket, kpi, {_KPI_CELLS}
+_LAST_YEAR = DayWindow(date(1996, 2, 1), date(1997, 1, 31))
+
+
+def _rolling(window: DayWindow) -> str:
+    cells = ", ".join(
+        f"max(value) FILTER (month_year = '{m}') AS \"{m}\"" for m in window.month_keys()
+    )
+    return f"""SELECT risk_bucket, kpi, {cells}
         FROM (SELECT month_year, risk_bucket,
                      CAST(assigned_customers AS DOUBLE) AS assigned_customers,
                      rpc_contact_rate_pct, agreement_conversion_rate_pct,
@@ -811,7 +867,18 @@ add(
              UNPIVOT INCLUDE NULLS (value FOR kpi IN (
                  assigned_customers, rpc_contact_rate_pct,
                  agreement_conversion_rate_pct, realized_recovery))
-        GROUP BY risk_bucket, kpi""",
+        GROUP BY risk_bucket, kpi"""
+
+
+add("rolling_kpis", "managed bucket_customers activity daily", _rolling(_ROLLING))
+add(
+    "rolling_kpis_year",
+    "managed bucket_customers activity daily",
+    _rolling(_LAST_YEAR),
+    snapshot=snapshot(_LAST_YEAR),
+    excluded=excluded(_LAST_YEAR),
+    calls=calls(_LAST_YEAR),
+    daily=daily(_LAST_YEAR),
 )
 add(
     "rolling_months_pivot",
@@ -819,3 +886,26 @@ add(
     f"""SELECT risk_bucket, {_cells(_ROLLING, 'DISTINCT customer_id', str)}
         FROM managed GROUP BY risk_bucket""",
 )
+
+# --- the source vocabularies and the published order ------------------------------------------
+
+for _name, _same in (
+    ("p02_staging_names", "p02"),
+    ("p05_core_names", "p05"),
+    ("p07_directory_names", "p07"),
+):
+    add(_name, *_PARTS[_same][:2], **_PARTS[_same][2])
+for _name, _of, _keys, _order in (
+    ("p01b_order", "p01b", "month_year, risk_bucket", "month_year, risk_bucket"),
+    ("p02_order", "p02", "analysis_type, category",
+     "analysis_type, category NULLS LAST"),
+    ("p04_order", "p04", "risk_bucket, age_bracket, real_efficiency_pct",
+     "risk_bucket, age_bracket, real_efficiency_pct DESC NULLS FIRST"),
+    ("p05_order", "p05", "mora_bucket", "mora_bucket NULLS LAST"),
+):
+    add(
+        _name,
+        _PARTS[_of][0],
+        f"SELECT row_number() OVER (ORDER BY {_order}) AS place, {_keys} FROM ({_PARTS[_of][1]})",
+        **_PARTS[_of][2],
+    )

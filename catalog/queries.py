@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,7 @@ from arrearly.functions.rounding import percent
 from arrearly.operators import activity, metrics, payments, portfolio, scores
 from arrearly.params import AGREEMENT_CODES, OUTCOME_TAXONOMY, RPC_CODES, rolling_months
 from arrearly.plans import efficiency
+from arrearly.sources.tables import conform
 from catalog.fixtures import (
     EXPOSURE_DATE,
     FUNNEL,
@@ -23,6 +25,7 @@ from catalog.fixtures import (
     WHOLE,
     YEAR,
     StarTables,
+    replace,
     single_id,
 )
 
@@ -284,6 +287,28 @@ def latest_scores(t):
     return _text_month(scores.latest_scores(scores.scores_by_month(t.scores, SPAN)))
 
 
+def _attached_in_year(t, lag_months):
+    """Scores of months before the window meet its first accounts."""
+    settings = WHOLE.during(YEAR)
+    monthly = scores.scores_by_month(t.scores, YEAR, lag_months)
+    accounts = portfolio.managed_accounts(t.portfolio, t.third_party, settings)
+    return _text_month(
+        scores.score_attach(accounts.select("account_id", "customer_id", "month"), monthly)
+    )
+
+
+@query
+def score_attach_lag2(t):
+    return _attached_in_year(t, 2)
+
+
+@query
+def score_attach_midmonth(t):
+    """Cutoffs ten days before the end of a month, and a lag of one month."""
+    early = t.scores.withColumn("cutoff_date", F.date_sub("cutoff_date", 10))
+    return _attached_in_year(replace(t, scores=early), 1)
+
+
 # --- bands -------------------------------------------------------------------------
 
 
@@ -361,12 +386,13 @@ def amount_due_by_branch(t):
 
 def _efficiency_by(t, *dims):
     mesh = efficiency.score_mesh(t, WHOLE)
-    weighted = {c: F.col(c) * F.col("score_rows") for c in ("balance", "recovered_amount")}
     return metrics.efficiency_mesh(
-        mesh.withColumns(weighted),
+        mesh,
         dims,
         F.countDistinct("customer_id").alias("total_customers"),
-        F.sum("score_rows").alias("mesh_rows"),
+        F.sum("mesh_rows").alias("mesh_rows"),
+        balance=F.col("balance") * F.col("mesh_rows"),
+        recovered=F.col("recovered_amount") * F.col("score_rows"),
     )
 
 
@@ -398,6 +424,18 @@ def efficiency_by_month(t):
     )
 
 
+@query
+def wide_money_percent(t):
+    """Percentages of money a million million times as large, beyond 64 bits."""
+    wide = F.col("balance").cast("decimal(24,2)") * F.lit(Decimal(10**12))
+    return (
+        _snapshot(t)
+        .groupBy("risk_bucket")
+        .agg(percent(F.sum(wide), F.count(F.lit(1))).alias("pct"))
+        .withColumn("pct", F.col("pct").cast("string"))
+    )
+
+
 # --- full analyses ---------------------------------------------------------------------
 
 
@@ -411,6 +449,12 @@ def p01a_stripped(t):
     return a.assigned_by_month(t, PIVOT, strip=True)
 
 
+@query
+def p01a_no_load_id(t):
+    """Loads of one day are ordered by the columns that the analysis uses."""
+    return a.assigned_by_month(replace(t, portfolio=t.portfolio.drop("load_id")), PIVOT)
+
+
 @query
 def p01b(t):
     return a.covered_customers(t, WHOLE)
@@ -436,6 +480,11 @@ def p03_net(t):
     return a.demographic_efficiency(t, WHOLE, net=True)
 
 
+@query
+def p03_no_load_id(t):
+    return a.demographic_efficiency(replace(t, portfolio=t.portfolio.drop("load_id")), WHOLE)
+
+
 @query
 def p04(t):
     return a.consolidated_efficiency(t, WHOLE)
@@ -482,6 +531,12 @@ def rolling_kpis(t):
     return a.rolling_kpis(t, SPAN.end, 84, WHOLE)
 
 
+@query
+def rolling_kpis_year(t):
+    """The published twelve months."""
+    return a.rolling_kpis(t, YEAR.end, settings=WHOLE)
+
+
 @single_id_query
 def funnel_rates(t):
     return metrics.kpi_rates(a.funnel_counts(t, FUNNEL))
@@ -496,3 +551,61 @@ def rolling_months_pivot(t):
     return metrics.month_pivot(
         portfolio.with_month_year(customers), "risk_bucket", window.month_keys()
     )
+
+
+# --- the source vocabularies -------------------------------------------------------------
+
+
+def _as_read(t, names):
+    """The inputs under the names of a vocabulary, read back into the canonical ones."""
+    frames = {}
+    for table, columns in names.items():
+        source = getattr(t, table).withColumnsRenamed({c: s for s, c in columns.items()})
+        frames[table] = conform(source, table, columns)
+    return a.Tables(**frames)
+
+
+@query
+def p02_staging_names(t):
+    return a.score_efficiency(_as_read(t, a.STAGING_NAMES), WHOLE)
+
+
+@single_id_query
+def p05_core_names(t):
+    return a.monthly_funnel(_as_read(t, a.CORE_NAMES), FUNNEL)
+
+
+@query
+def p07_directory_names(t):
+    return a.predictive_efficiency(_as_read(t, a.DIRECTORY_NAMES), WHOLE)
+
+
+# --- published order ---------------------------------------------------------------------
+
+
+def _positions(result, *keys):
+    """The place of every result row, and what the published order looks at. The
+    results have one row per segment, so they fit one task."""
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))
+    return result.select(place.alias("place"), *keys)
+
+
+@query
+def p01b_order(t):
+    return _positions(a.covered_customers(t, WHOLE), "month_year", "risk_bucket")
+
+
+@query
+def p02_order(t):
+    return _positions(a.score_efficiency(t, WHOLE), "analysis_type", "category")
+
+
+@query
+def p04_order(t):
+    result = a.consolidated_efficiency(t, WHOLE)
+    return _positions(result, "risk_bucket", "age_bracket", "real_efficiency_pct")
+
+
+@single_id_query
+def p05_order(t):
+    return _positions(a.monthly_funnel(t, FUNNEL), "mora_bucket")

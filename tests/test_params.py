@@ -3,7 +3,8 @@ from datetime import date, datetime
 from pyspark.sql import functions as F
 
 from arrearly import CORE, DIRECTORY, STAGING, DayWindow, rolling_months
-from arrearly.params import spanish_month_label
+from arrearly.functions import bands
+from arrearly.params import AGREEMENT_CODES, RPC_CODES, SYSTEM_CODE, spanish_month_label
 
 
 def test_published_windows():
@@ -13,6 +14,43 @@ def test_published_windows():
     assert len(DIRECTORY.channels) == 13
 
 
+def test_published_values():
+    """The SQL twins take these from the library, so they are stated here once more."""
+    assert RPC_CODES == (1, 2, 3, 4, 5, 6, 7, 9, 22, 25, 30, 34, 35, 39)
+    assert AGREEMENT_CODES == (1, 35, 39)
+    assert SYSTEM_CODE == 33
+    assert STAGING.channels == ("VENDOR_A", "VENDOR_B", "PARTNER_EXTERNAL")
+    assert CORE.channels == (
+        "VENDOR_BOT_A", "VENDOR_CAT_B", "VENDOR_DIRECT", "VENDOR_SIGA", "VENDOR_TESTIGO",
+    )
+    assert DIRECTORY.channels == (
+        "IABOTCAT", "IACATCLN", "IACATMX", "IADIRECT", "IALABCLN", "IALABMX", "IASIGA",
+        "IAVOICES", "IAVOZY", "SIGA", "PENTAFON", "SIGA_TES", "TESTIGO",
+    )
+    assert [s.phone_kind for s in (STAGING, CORE, DIRECTORY)] == ["TELEPHONE", "T", "T"]
+    assert [s.payment_kind for s in (STAGING, CORE, DIRECTORY)] == [
+        "ACCOUNT_CREDIT", "ACCOUNT_PAYMENT", "CUENTA",
+    ]
+
+
+def test_published_labels():
+    assert bands.AGE_BRACKETS == ("1. < 25 years", "2. 25-40 years", "3. 41-60 years", "4. > 60 years")
+    assert bands.AGE_BRACKETS_SHORT == ("1. < 25 yrs", "2. 25-40 yrs", "3. 41-60 yrs", "4. > 60 yrs")
+    assert bands.CONTACTABILITY_HIGH == "1. High Contactability (>=70 pts)"
+    assert bands.CONTACTABILITY_LOW == "3. Low Contactability (<30 pts)"
+    assert bands.CONTACTABILITY_MEDIUM == "2. Medium Contactability (30-69 pts)"
+    assert bands.LOAD_HIGH == "3. High Load (>50%)"
+    assert bands.LOAD_LOW == "1. Low Load (<20%)"
+    assert bands.LOAD_MEDIUM == "2. Medium Load (20-50%)"
+    assert bands.RECENCY_MODERATE == "Moderate Contact (8-30 days)"
+    assert bands.RECENCY_NONE == "No Recent Contact (>30 days)"
+    assert bands.RECENCY_RECENT == "Recent Contact (<=7 days)"
+    assert bands.SATURATION_HIGH == "High Saturation (>60%)"
+    assert bands.SATURATION_LOW == "Low Saturation (<20%)"
+    assert bands.SATURATION_MEDIUM == "Medium Saturation (20-60%)"
+    assert bands.UNMAPPED == "Unmapped"
+
+
 def test_rolling_months():
     window = rolling_months(date(2026, 6, 12))
     assert (window.start, window.end) == (date(2025, 6, 1), date(2026, 6, 30))

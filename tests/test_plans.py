@@ -4,11 +4,13 @@ joins off so that the plan is the one large tables get."""
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import arrearly as a
 from arrearly import read_tables
 from arrearly.sources.schemas import SCHEMAS
-from catalog.fixtures import FUNNEL, PIVOT, WHOLE
+from arrearly.sources.tables import conform
+from catalog.fixtures import FUNNEL, PIVOT, WHOLE, replace
 from catalog.queries import BUILDERS
 
 ANALYSES = {
@@ -26,6 +28,22 @@ ANALYSES = {
 # exclusions, calls and (two) daily payments, one counts distinct customers, one
 # merges the segments and one sorts the few result rows. The raw-id exclusion of
 # assigned_by_month reuses the ranking's partitioning.
+# No load_id among the loads, as in the published vocabularies: what is read of them.
+KEYS = {"account_id", "load_ts", "past_due"}
+USED = {
+    "assigned_by_month": KEYS,
+    "covered_customers": KEYS | {"balance"},
+    "score_efficiency": KEYS | {"balance"},
+    "demographic_efficiency": KEYS
+    | {"balance", "birth_date", "saturation_pct", "last_contact_date", "reason_code"},
+    "consolidated_efficiency": KEYS | {"balance", "birth_date", "income", "punctuality"},
+    "monthly_funnel": KEYS | {"balance"},
+    "agreements_by_month": KEYS | {"balance"},
+    "predictive_efficiency": KEYS | {"balance", "birth_date", "income", "model_efficiency"},
+    "kpis_by_month": KEYS | {"balance"},
+}
+# One row per segment goes through one task there, to number them.
+ONE_TASK = {"p01b_order", "p02_order", "p04_order", "p05_order"}
 SHUFFLES = {
     "assigned_by_month": 5,
     "covered_customers": 6,
@@ -85,13 +103,41 @@ def test_shuffles(tables, name):
 def test_no_query_collects_a_group(tables, name):
     text = physical(BUILDERS[name](tables))
     for node in ("CartesianProduct", "NestedLoop", "collect_", "Python", "SinglePartition"):
-        assert node not in text
+        assert node not in text or (node == "SinglePartition" and name in ONE_TASK)
 
 
 def scan(text, column):
     return next(line for line in text.splitlines() if "FileScan" in line and column in line)
 
 
+@pytest.mark.parametrize("names", ["STAGING_NAMES", "CORE_NAMES", "DIRECTORY_NAMES"])
+@pytest.mark.parametrize("name", sorted(ANALYSES))
+def test_no_other_column_is_read_without_load_id(tables, spark, tmp_path_factory, name, names):
+    """Foreign columns and those that an analysis does not use stay in the file."""
+    vocabulary = getattr(a, names)["portfolio"]
+    path = _foreign_portfolio(tables, tmp_path_factory, names, vocabulary)
+    loads = conform(spark.read.parquet(path), "portfolio", vocabulary)
+    text = physical(ANALYSES[name](replace(tables, portfolio=loads)))
+    source = {canonical: found for found, canonical in vocabulary.items()}
+    found = next(x for x in text.splitlines() if "FileScan" in x and f"/{names}" in x)
+    read = set(re.findall(r"(\w+):", found.split("ReadSchema: struct<")[1]))
+    assert read == {source.get(c, c) for c in USED[name]}
+
+
+def _foreign_portfolio(tables, tmp_path_factory, names, vocabulary):
+    if names not in _WRITTEN:
+        _WRITTEN[names] = str(tmp_path_factory.mktemp("foreign") / names)
+        source = {canonical: found for found, canonical in vocabulary.items()}
+        foreign = {f"foreign_{i}": F.lit(i) for i in range(3)}
+        tables.portfolio.drop("load_id").withColumnsRenamed(source).withColumns(
+            foreign
+        ).write.parquet(_WRITTEN[names])
+    return _WRITTEN[names]
+
+
+_WRITTEN = {}
+
+
 def test_filters_and_columns_reach_the_scan(tables):
     text = physical(a.consolidated_efficiency(tables, WHOLE))
     portfolio = scan(text, "load_id")

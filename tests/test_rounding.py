@@ -1,5 +1,6 @@
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -29,8 +30,6 @@ def quotients(spark, pairs):
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.tuples(money, money.map(lambda d: d or Decimal(1))), min_size=50, max_size=50))
 def test_percent_is_exact(spark, pairs):
-    # The quotient is returned in decimal(18,2): keep to what fits.
-    pairs = [(a, b) for a, b in pairs if abs(a) < abs(b) * 10**10]
     assert quotients(spark, pairs) == [exact(a * 100, b, 2) for a, b in pairs]
 
 
@@ -52,6 +51,34 @@ def test_ties_and_near_ties(spark):
     ]
 
 
+def test_beyond_64_bits(spark):
+    """Around 2**63 in every place where a whole number of 64 bits would wrap."""
+    edge = Decimal(2**63)
+    values = [
+        edge * s / Decimal(10**d) + Decimal(e).scaleb(-2)
+        for d in (0, 2, 4, 6) for e in (-1, 0, 1) for s in (1, -1)
+    ]
+    values = [v.quantize(Decimal("0.01")) for v in values] + [Decimal("18446744073709551.00")]
+    # The widest money that conform() admits, and the largest sum of it that fits.
+    values += [Decimal("99999999999999999999.99"), Decimal("-99999999999999999999.99")]
+    pairs = [(a, b) for a in values for b in (Decimal("1.00"), Decimal("-3.00"), Decimal("7.77"))]
+    assert quotients(spark, pairs) == [exact(a * 100, b, 2) for a, b in pairs]
+    df = spark.createDataFrame([(v, 1) for v in values], "s decimal(36,2), n bigint")
+    got = [r.m for r in df.select(mean(F.col("s"), F.col("n"), 6).alias("m")).collect()]
+    assert got == values
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_what_does_not_fit_is_an_error(spark, ansi):
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        huge = spark.createDataFrame([(Decimal(10**33), Decimal("0.01"))], "a decimal(36,2), b decimal(36,2)")
+        with pytest.raises(Exception, match="digits|NUMERIC_VALUE_OUT_OF_RANGE|OVERFLOW"):
+            huge.select(percent(F.col("a"), F.col("b"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
 def test_mean(spark):
     df = spark.createDataFrame(
         [(Decimal("10.00"), 3), (Decimal("0.05"), 2), (None, 0)], "s decimal(36,2), n bigint"

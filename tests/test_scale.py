@@ -1,6 +1,7 @@
 """Storage layouts and hot keys."""
 
 import re
+from dataclasses import replace
 from datetime import date
 
 import pytest
@@ -49,11 +50,10 @@ def test_month_partitions_are_pruned(spark, make_tables, tmp_path, conf, kind):
     df = spark.read.schema(schema).parquet(path)
     pruned = prune_months(df, "part", MONTH)
     assert re.search(r"PartitionFilters: \[[^\]]*part", physical(pruned))
-    # May stays, for the scores of its last day.
-    assert pruned.count() == df.count()
+    found = {r.m for r in pruned.select(F.month("load_ts").alias("m")).distinct().collect()}
+    assert found == {6}
     later = a.DayWindow(date(1996, 7, 1), date(1996, 7, 31))
-    kept = prune_months(df, "part", later).select(F.month("load_ts").alias("m"))
-    assert {r.m for r in kept.collect()} == {6}
+    assert prune_months(df, "part", later).count() == df.where("month(load_ts) = 7").count()
 
 
 def test_read_tables_prunes(spark, make_tables, tmp_path):
@@ -65,13 +65,55 @@ def test_read_tables_prunes(spark, make_tables, tmp_path):
         getattr(tables, table).withColumn(
             "part", F.date_format(ts, "yyyy-MM")
         ).write.partitionBy("part").parquet(locations[table])
-    later = a.DayWindow(date(1996, 7, 1), date(1996, 7, 31))
+    narrow = WHOLE.during(MONTH)
     read = a.read_tables(
-        spark, locations, month_columns={"payments": "part", "portfolio": "part"}, window=later
+        spark, locations, month_columns={"payments": "part", "portfolio": "part"}, settings=narrow
     )
     assert "part" not in read.payments.columns
     assert 0 < read.payments.count() < tables.payments.count()
     assert read.third_party.count() == tables.third_party.count()
+    a.demographic_efficiency(read, narrow)
+    with pytest.raises(ValueError, match="partitions were read for"):
+        a.demographic_efficiency(read, WHOLE)
+    with pytest.raises(ValueError, match="shorter lag"):
+        a.demographic_efficiency(read, replace(narrow, score_lag_months=1))
+
+
+def test_scores_and_exposure_are_pruned_by_their_own_days(spark, make_tables, tmp_path):
+    """Lagged scores lie before the window, and exposure on its own day."""
+    tables = make_tables(1)
+    locations = {}
+    stamps = {
+        "portfolio": "load_ts", "third_party": "load_ts", "scores": "cutoff_date",
+        "exposure": "snapshot_date",
+    }
+    for table, ts in stamps.items():
+        locations[table] = str(tmp_path / table)
+        getattr(tables, table).withColumn("part", F.date_format(ts, "yyyy-MM")).where(
+            "part IS NOT NULL"
+        ).write.partitionBy("part").parquet(locations[table])
+    for lag in (0, 1, 2):
+        settings = replace(WHOLE.during(MONTH), score_lag_months=lag)
+        read = a.read_tables(
+            spark, locations, month_columns=dict.fromkeys(locations, "part"), settings=settings
+        )
+        for frames in (read, tables):
+            assert rows(scores.scores_by_month(frames.scores, MONTH, lag)) == rows(
+                scores.scores_by_month(tables.scores, MONTH, lag)
+            )
+        day = settings.exposure_date
+        assert read.exposure.where(F.col("snapshot_date") == F.lit(day)).count() == (
+            tables.exposure.where(F.col("snapshot_date") == F.lit(day)).count()
+        )
+
+
+def test_what_is_missing_is_an_error(make_tables):
+    tables = make_tables(1)
+    with pytest.raises(ValueError, match="exposure_date"):
+        a.monthly_funnel(tables, replace(WHOLE, exposure_date=None))
+    with pytest.raises(ValueError, match="after the month"):
+        scores.scores_by_month(tables.scores, MONTH, -1)
+    assert WHOLE.during(MONTH).exposure_date == date(1996, 5, 31)
 
 
 def test_bucketed_tables_are_not_shuffled_again(spark, make_tables, conf):
