@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arrearly.llm import bpe, decontaminate, html_text, licenses, near_dup, ngram_lm, pii, pu_quality, quality_rules, warc
+from arrearly.llm import (
+    bpe,
+    decontaminate,
+    html_text,
+    licenses,
+    near_dup,
+    ngram_lm,
+    oracle,
+    pii,
+    pu_quality,
+    quality_rules,
+    warc,
+)
 from arrearly.llm.common import documents, fold_of, shared_folder
 
 # Whoever runs this on real data passes a secret of their own.
@@ -149,4 +161,4 @@ QUERIES = {
     "op10_pu_quality_classifier": op10_pu_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
