@@ -24,7 +24,8 @@ def _fails() -> str:
     for r in RULES:
         outside = [f"{r.measure} < {r.least}"] * (r.least is not None)
         outside += [f"{r.measure} > {r.most}"] * (r.most is not None)
-        tests.append(f"(({' OR '.join(outside)}) AND n_words >= {r.min_words})")
+        enough = f"n_words >= {r.min_words} AND n_lines >= {r.min_lines}"
+        tests.append(f"(({' OR '.join(outside)}) AND {enough})")
     return " OR ".join(tests)
 
 

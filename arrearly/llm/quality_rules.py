@@ -31,11 +31,12 @@ class Rule:
     measure: str
     least: float | None = None
     most: float | None = None
-    min_words: int = 0  # the rule applies to texts of at least so many words
+    # The rule applies to texts of at least so many words and lines.
+    min_words: int = 0
+    min_lines: int = 0
 
 
-# A rule that compares with a share of words says nothing about a handful of
-# words, hence min_words.
+# A share says nothing about a handful of words or lines, hence the minima.
 RULES = (
     Rule("n_words", least=50, most=100_000),
     Rule("mean_word_length", least=2.5, most=10),
@@ -44,9 +45,9 @@ RULES = (
     Rule("letter_ratio", least=0.7, min_words=20),
     Rule("upper_ratio", most=0.4, min_words=20),
     Rule("n_stop_words", least=2, min_words=50),
-    Rule("dup_line_ratio", most=0.3),
-    Rule("bullet_line_ratio", most=0.9),
-    Rule("ellipsis_line_ratio", most=0.3),
+    Rule("dup_line_ratio", most=0.3, min_lines=5),
+    Rule("bullet_line_ratio", most=0.9, min_lines=5),
+    Rule("ellipsis_line_ratio", most=0.3, min_lines=5),
     Rule("repeat_ratio", most=0.5),
 )
 
@@ -175,7 +176,8 @@ def verdict(rules: tuple[Rule, ...] = RULES, measured: str = "measures") -> Colu
         value = m[rule.measure]
         outside = [value < rule.least] * (rule.least is not None)
         outside += [value > rule.most] * (rule.most is not None)
-        return reduce(Column.__or__, outside, F.lit(False)) & (m["n_words"] >= rule.min_words)
+        enough = (m["n_words"] >= rule.min_words) & (m["n_lines"] >= rule.min_lines)
+        return reduce(Column.__or__, outside, F.lit(False)) & enough
 
     return F.filter(
         F.array(*[F.when(fails(r), F.lit(r.measure)) for r in rules]), lambda x: x.isNotNull()
