@@ -124,9 +124,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"))
+        # Written, so that a hot node's edges meet its minimum in a plain join.
+        low = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
         large = (
-            both.join(low.select("u", F.least("u", "m").alias("m")), "u")
+            both.join(low, "u")
             .where("v > u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .distinct()
