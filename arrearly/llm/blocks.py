@@ -34,7 +34,7 @@ from pyspark.sql.types import StructType
 from arrearly.llm.common import written
 
 #: Tokens after which a block is closed; texts are not divided.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Texts that are cut into tokens at a time.
 _TEXTS = 64
 _ZSTD = pa.Codec("zstd", compression_level=3)

@@ -41,16 +41,22 @@ def read_ranks(path: str) -> Ranks:
 
 
 def _merged_short(piece: bytes, ranks: Ranks) -> list[int]:
-    """Looks at all pairs for every merge: for a few bytes that is quickest."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
+    """Looks for the lowest of all pairs for every merge: quickest for a few bytes."""
     none = 1 << 62
-    while True:
-        pairs = [ranks.get(a + b, none) for a, b in zip(parts, parts[1:])]
-        low = min(pairs, default=none)
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    pairs = [ranks.get(piece[i : i + 2], none) for i in range(len(piece) - 1)]
+    while pairs:
+        low = min(pairs)
         if low == none:
-            return [ranks[p] for p in parts]
+            break
         i = pairs.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        parts[i] += parts.pop(i + 1)
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+    return [ranks[p] for p in parts]
 
 
 def merged(piece: bytes, ranks: Ranks) -> list[int]:
@@ -185,42 +191,35 @@ def encode(
     )
 
 
-def decode(encoded: DataFrame, ranks: Ranks) -> DataFrame:
+def decode(encoded: DataFrame, ranks: Ranks, ids_digest: bool = False) -> DataFrame:
     """``encoded`` with ``decoded``: the bytes of its ``ids``.
 
     The table from ids to bytes is as large as the vocabulary, so it is sent to
     the rows and joined there by position. NULL ids give NULL; a column named
-    ``decoded`` is replaced.
+    ``decoded`` is replaced. ``ids_digest`` adds ``ids_sha256`` in the same pass,
+    of the ids as little-endian 32-bit numbers.
     """
     table = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         table[rank] = token
     sent = encoded.sparkSession.sparkContext.broadcast(table)
-    column = encoded.drop("decoded").columns.index("ids")
+    fields = "decoded binary" + ", ids_sha256 string" * ids_digest
+    column = encoded.drop("decoded", *["ids_sha256"] * ids_digest).columns.index("ids")
 
     def join(batch: pa.RecordBatch) -> list[pa.Array]:
         token = sent.value.__getitem__
-        ids = (x.values.to_pylist() if x.is_valid else None for x in batch.column(column))
-        return [pa.array([None if x is None else b"".join(map(token, x)) for x in ids], pa.binary())]
+        texts, digests = [], []
+        for x in batch.column(column):
+            ids = x.values.to_numpy(zero_copy_only=False) if x.is_valid else None
+            texts.append(None if ids is None else b"".join(map(token, ids.tolist())))
+            if ids_digest:
+                raw = None if ids is None else ids.astype("<u4").tobytes()
+                digests.append(None if raw is None else hashlib.sha256(raw).hexdigest())
+        return [pa.array(texts, pa.binary())] + [pa.array(digests, pa.string())] * ids_digest
 
-    return appended(encoded, "decoded binary", join)
+    return appended(encoded, fields, join)
 
 
 def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[Ranks, str]:
     """Ranks and splitting pattern of a public vocabulary file."""
     return read_ranks(public_tokenizers.path(name)), public_tokenizers.PATTERN
-
-
-def ids_sha256(encoded: DataFrame) -> DataFrame:
-    """``encoded`` with the digest of the ids as little-endian 32-bit numbers."""
-    column = encoded.drop("ids_sha256").columns.index("ids")
-
-    def digest(batch: pa.RecordBatch) -> list[pa.Array]:
-        found = (
-            hashlib.sha256(x.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes())
-            for x in batch.column(column)
-        )
-        return [pa.array([x.hexdigest() for x in found], pa.string())]
-
-    return appended(encoded, "ids_sha256 string", digest)
-

@@ -42,8 +42,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = bpe.vocabulary()
-    decoded = bpe.decode(bpe.encode(documents(spark, sf_dir), ranks, pattern), ranks)
-    return bpe.ids_sha256(decoded).select(
+    encoded = bpe.encode(documents(spark, sf_dir), ranks, pattern)
+    return bpe.decode(encoded, ranks, ids_digest=True).select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
     )
 
