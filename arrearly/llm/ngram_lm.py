@@ -1,22 +1,23 @@
 """Language-model scores from a weighted backoff automaton.
 
-Every token of the training texts is counted. N-grams that make up at least
-``RATE`` of the training tokens become arcs of an automaton: a state is a
-context, an arc reads a token and adds its smoothed log-probability, a failure
-arc leads to the next shorter context and adds the backoff weight. Shares add up
-to one, so there are at most 1 / RATE words, and as many n-grams of each length,
-at any corpus size; only these are sent to the workers. The root state falls back
-on the counts of all words, which grow with the corpus and reach the texts
-through the shuffled block dictionaries (see ``blocks``).
+Every n-gram of the training texts up to ``ORDER`` words is counted and has an
+arc. A state is a context, an arc (state, word) reads a word and adds its smoothed
+log-probability, a failure arc leads to the next shorter context and adds the
+backoff weight. The automaton grows with the corpus, so no task holds it: words
+and n-grams are dealt by hash into buckets, which count them and number them (the
+number of an n-gram is its state), and every block of texts gets back the arcs
+and weights of its own n-grams, as it gets the counts of its words (see
+``blocks``). Sums over the arcs of a state are taken per bucket first, so a
+context with many followers is spread.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,13 +30,18 @@ from arrearly.llm.blocks import (
     unpack_numbers,
     unpack_words,
 )
-from arrearly.llm.common import written
+from arrearly.llm.common import mix, written
 
-RATE = 1e-5  # least share of the training tokens of an n-gram with an arc
+RATE = 0.0  # least share of the training tokens of an n-gram with an arc: none
 ORDER = 3  # longest n-gram
 DISCOUNT = 0.5  # taken off every n-gram's count and left to shorter contexts
 END = b" "  # ends every text; no word holds a space
 
+# What is sent to blocks (and, as SUMS, to the buckets of states): packed numbers.
+_SENT = "kind int, block bigint, bucket int, a binary, b binary, c binary, d binary"
+_NAMES = ["kind", "block", "bucket", "a", "b", "c", "d"]
+WORD, PAIR, TRIPLE, WORD_SUMS, PAIR_SUMS, SUMS = range(6)
+
 
 def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Lower-cased (A-Z) words between ASCII white space, and the end, of every text."""
@@ -48,105 +54,152 @@ def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return pa.array(found, pa.binary()), np.array(sizes, dtype=np.int64)
 
 
-@dataclass
-class Automaton:
-    """State 0 is the root; states 1.. are the frequent words; then longer contexts."""
-
-    total: int  # training tokens
-    distinct: int
-    words: dict[bytes, int] = field(default_factory=dict)  # frequent ones, numbered
-    arcs: dict[int, tuple[int, float]] = field(default_factory=dict)
-    fail: list[int] = field(default_factory=lambda: [0])
-    weight: list[float] = field(default_factory=lambda: [0.0])  # log10, of the failure arc
-
-    def unigram(self, count: np.ndarray) -> np.ndarray:
-        return np.log10((count + 1) / (self.total + self.distinct + 1))
-
-    def score(self, numbers: list[int], root: list[float]) -> float:
-        """One pass over a text: numbers of its tokens (-1: not frequent) and their
-        log-probabilities at the root."""
-        arcs, fail, weight, size = self.arcs, self.fail, self.weight, len(self.words)
-        state, total = 0, 0.0
-        for number, alone in zip(numbers, root):
-            while True:
-                arc = arcs.get(state * size + number) if number >= 0 else None
-                if arc is not None:
-                    state = arc[0]
-                    total += arc[1]
-                    break
-                if state == 0:
-                    total += alone
-                    state = number + 1
-                    break
-                total += weight[state]
-                state = fail[state]
-        return total
-
-
-def build(
-    total: int,
-    distinct: int,
-    frequent: list[tuple[bytes, int]],
-    ngrams: list[list[tuple[tuple[int, ...], int]]],
-) -> Automaton:
-    """The automaton of counted n-grams; ``ngrams`` holds those of two words, three, ...
-
-    An n-gram is a tuple of numbers of frequent words, and its prefix and suffix
-    are n-grams too. Absolute discounting; a backoff weight spreads what the arcs
-    of a context leave over all other words, so probabilities add up to one.
+def _pack(x: np.ndarray) -> bytes:
+    return pack_numbers(x.astype(np.uint64), 8)
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    return unpack_numbers(x, 8).astype(np.int64)
+
+
+def _pack_sorted(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=0))
+
+
+def _unpack_sorted(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(x))
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+    columns = list(zip(*rows)) or [[]] * len(kinds)
+    return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=_NAMES)
+
+
+def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number per pair of numbers, different for different pairs."""
+    if len(a) and max(a.max(), b.max()) >= 2**31:
+        a, b = (np.unique(x, return_inverse=True)[1] for x in (a, b))
+    return a << 32 | b
+
+
+def _sums(inverse: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
+    return np.bincount(inverse, weights=x, minlength=n).astype(np.int64)
+
+
+class _Block:
+    """A block's distinct pairs and triples, and what is known of them.
+
+    A pair is a word and a word, a triple is a pair and a word; ``last`` is the
+    number in the dictionary, ``first`` that in the dictionary or among the pairs.
     """
-    model = Automaton(total, distinct, {w: i for i, (w, _) in enumerate(frequent)})
-    size = len(frequent)
-    counts = {(i,): n for i, (_, n) in enumerate(frequent)}
-    state = {(): 0} | {(i,): i + 1 for i in range(size)}
-    model.fail += [0] * size
-    model.weight += [0.0] * size
-    for grams in ngrams:
-        for gram, n in grams:
-            counts[gram] = n
-            if len(gram) < ORDER:
-                state[gram] = len(model.fail)
-                model.fail.append(state[gram[1:]])
-                model.weight.append(0.0)
-
-    def logp(context: tuple[int, ...], word: int) -> float:
-        if not context:
-            return float(model.unigram(np.array(counts[(word,)])))
-        arc = model.arcs.get(state[context] * size + word)
-        return arc[1] if arc else model.weight[state[context]] + logp(context[1:], word)
-
-    for grams in ngrams:
-        after: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for gram, n in grams:
-            after.setdefault(gram[:-1], []).append((gram[-1], n))
-        for context, found in after.items():
-            taken = lower = 0.0
-            made = {}
-            for word, n in found:
-                p = (n - DISCOUNT) / counts[context]
-                taken += p
-                lower += 10 ** logp(context[1:], word)
-                longest = (*context, word)
-                while longest not in state:
-                    longest = longest[1:]
-                made[state[context] * size + word] = (state[longest], float(np.log10(p)))
-            model.weight[state[context]] = float(np.log10((1 - taken) / (1 - lower)))
-            model.arcs |= made
-    return model
-
-
-def _numbers(words: pa.ListScalar, buckets: bytes, known: dict[bytes, int]) -> np.ndarray:
-    """The numbers of a block's dictionary words among the frequent ones."""
-    rows = sorted(words.as_py(), key=lambda w: w["bucket"])
-    listed = [known.get(w, -1) for row in rows for w in unpack_words(row["words"])]
-    return np.array(listed, dtype=np.int64)[places(unpack_numbers(buckets))]
-
-
-def train(table: DataFrame, rate: float = RATE) -> tuple[Automaton, DataFrame]:
-    """The automaton of a block table, and the counts of all words by block."""
-    spark = table.sparkSession
-    total = table.agg(F.sum("n_counted")).first()[0] or 0
-    least = max(1.0, rate * total)
+
+    def __init__(self, row: dict, sent: pa.Table, order: int, n_buckets: int) -> None:
+        self.sent, self.n_buckets = sent.sort_by("bucket"), n_buckets
+        self.rows = row["rows"]
+        self.sizes = np.array([r["n_tokens"] for r in self.rows], dtype=np.int64)
+        self.codes = unpack_codes(row["codes"])
+        self.place = places(unpack_numbers(row["buckets"]))
+        self.word_number = self.listed(WORD, "a")[self.place]
+        self.word_count = self.listed(WORD, "b")[self.place]
+        size = len(self.place)
+        text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        counted = np.repeat(np.array([r["counted"] for r in self.rows], dtype=bool), self.sizes)
+
+        self.pair_place = np.flatnonzero(text[:-1] == text[1:])
+        key = self.codes[self.pair_place] * size + self.codes[self.pair_place + 1]
+        pairs, self.pair_at = np.unique(key, return_inverse=True)
+        self.pair_first, self.pair_last = np.divmod(pairs, max(1, size))
+        self.pair_counted = _sums(self.pair_at, len(pairs), counted[self.pair_place])
+        self.pair_state = self.word_number[self.pair_first]
+        self.pair_suffix = self.word_count[self.pair_last]
+        if order == 2:
+            return
+        self.pair_order = self.dealt(self.pair_state, self.pair_last)[0]
+        self.pair_number = self.back(self.pair_order, PAIR, "a")
+        self.pair_count = self.back(self.pair_order, PAIR, "b")
+        at = np.zeros(len(text), dtype=np.int64)
+        at[self.pair_place] = self.pair_at
+        self.triple_place = np.flatnonzero(text[:-2] == text[2:])
+        key = at[self.triple_place] * size + self.codes[self.triple_place + 2]
+        triples, self.triple_at = np.unique(key, return_inverse=True)
+        self.triple_first, self.triple_last = np.divmod(triples, max(1, size))
+        self.triple_counted = _sums(self.triple_at, len(triples), counted[self.triple_place])
+        self.triple_state = self.pair_number[self.triple_first]
+        self.triple_rest = np.zeros(len(triples), dtype=np.int64)  # its last two words, a pair
+        self.triple_rest[self.triple_at] = at[self.triple_place + 1]
+        self.triple_suffix = self.pair_count[self.triple_rest]
+
+    def listed(self, kind: int, column: str) -> np.ndarray:
+        part = self.sent.filter(pc.equal(self.sent.column("kind"), kind))
+        found = [_unpack(x) for x in part.column(column).to_pylist()]
+        return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+
+    def back(self, order: np.ndarray, kind: int, column: str) -> np.ndarray:
+        out = np.empty(len(order), dtype=np.int64)
+        out[order] = self.listed(kind, column)
+        return out
+
+    def dealt(self, state: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The order in which n-grams are sent, by bucket and state, and their buckets."""
+        word = self.word_number[last].astype(np.uint64)
+        bucket = mix(mix(state.astype(np.uint64)) + word) % np.uint64(self.n_buckets)
+        order = np.lexsort((state, bucket))
+        return order, bucket[order].astype(np.int64)
+
+    def asked(self, block: int, n: int) -> pa.Table:
+        """The n-grams of a length by bucket: state, word, count in the marked texts, and
+        the count of the n-gram without its first word."""
+        name = "pair" if n == 2 else "triple"
+        state, last, counted, suffix = (
+            getattr(self, f"{name}_{x}") for x in ("state", "last", "counted", "suffix")
+        )
+        order, bucket = self.dealt(state, last)
+        present, start = np.unique(bucket, return_index=True)
+        parts = np.split(order, start[1:]) if len(start) else []
+        return _table([
+            (n, block, int(b), _pack_sorted(state[i]), _pack(self.word_number[last[i]]),
+             _pack(counted[i]), _pack(suffix[i]))
+            for b, i in zip(present, parts)
+        ])
+
+    def scores(self, total: int, distinct: int, least: float) -> np.ndarray:
+        """The log-probability of every token after the two before it."""
+        everything = total + distinct + 1
+        arc = lambda n, context: np.log10(
+            np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(context, 1)
+        )
+        one = np.log10((self.word_count + 1) / everything)
+        d, n, s = (self.listed(WORD_SUMS, c)[self.place] for c in "abc")
+        count = np.maximum(self.word_count, 1)
+        fail = np.log10((count - n + DISCOUNT * d) / count * everything / (everything - s - d))
+        fail = np.where(self.word_count >= least, fail, 0.0)
+        first = self.pair_first
+        two = np.where(
+            self.pair_count >= least,
+            arc(self.pair_count, self.word_count[first]),
+            fail[first] + one[self.pair_last],
+        )
+        d, n, s = (self.back(self.pair_order, PAIR_SUMS, c) for c in "abc")
+        pair, word = np.maximum(self.pair_count, 1), np.maximum(self.word_count[self.pair_last], 1)
+        fail = np.log10((pair - n + DISCOUNT * d) / pair * word / (word - s + DISCOUNT * d))
+        fail = np.where(self.pair_count >= least, fail, 0.0)
+        order = self.dealt(self.triple_state, self.triple_last)[0]
+        triple = self.back(order, TRIPLE, "b")
+        three = np.where(
+            triple >= least,
+            arc(triple, self.pair_count[self.triple_first]),
+            fail[self.triple_first] + two[self.triple_rest],
+        )
+        out = one[self.codes]
+        out[self.pair_place + 1] = two[self.pair_at]
+        out[self.triple_place + 2] = three[self.triple_at]
+        return out
+
+
+def _count_words(table: DataFrame, n_buckets: int) -> DataFrame:
+    """Number and count of all words by block; the first row of a bucket has, as c, how
+    many words of the bucket stand in the marked texts."""
 
     def count_bucket(rows: pa.Table) -> pa.Table:
         sent = [unpack_words(x) for x in rows.column("words").to_pylist()]
@@ -154,109 +207,93 @@ def train(table: DataFrame, rate: float = RATE) -> tuple[Automaton, DataFrame]:
         for words, packed in zip(sent, rows.column("counts").to_pylist()):
             for word, n in zip(words, unpack_numbers(packed, 8).tolist()):
                 counts[word] = counts.get(word, 0) + n
-        found = [pack_numbers(np.array([counts[w] for w in x], dtype=np.uint64), 8) for x in sent]
-        n = len(found)
-        often = [(w, c) for w, c in counts.items() if c >= least]
-        # The bucket's totals stand in its first row.
-        return pa.table(
-            {
-                "block": rows.column("block"),
-                "bucket": rows.column("bucket"),
-                "counts": pa.array(found, pa.binary()),
-                "n_distinct": pa.array([sum(c > 0 for c in counts.values())] + [0] * (n - 1)),
-                "often": pa.array(
-                    [[{"word": w, "n": c} for w, c in often]] + [[]] * (n - 1),
-                    pa.list_(pa.struct({"word": pa.binary(), "n": pa.int64()})),
-                ),
-            }
-        )
+        number = {w: i for i, w in enumerate(counts)}
+        bucket = rows.column("bucket")[0].as_py()
+        known = _pack(np.array([sum(c > 0 for c in counts.values())]))
+        return _table([
+            (WORD, block, bucket, _pack(np.array([number[w] for w in x]) * n_buckets + bucket),
+             _pack(np.array([counts[w] for w in x])), None if i else known, None)
+            for i, (block, x) in enumerate(zip(rows.column("block").to_pylist(), sent))
+        ])
 
-    counts = written(
-        dealt_words(table)
-        .groupBy("bucket")
-        .applyInArrow(
-            count_bucket,
-            "block bigint, bucket int, counts binary, n_distinct bigint, "
-            "often array<struct<word: binary, n: bigint>>",
-        )
-    )
-    distinct = counts.agg(F.sum("n_distinct")).first()[0] or 0
-    # At most 1 / rate rows, as are the n-grams below.
-    rows = counts.select(F.inline("often")).collect()
-    frequent = sorted(((bytes(r["word"]), r["n"]) for r in rows), key=lambda x: (-x[1], x[0]))
-    known = spark.sparkContext.broadcast({w: i for i, (w, _) in enumerate(frequent)})
-    size = max(1, len(frequent))
-
-    ngrams: list[list[tuple[tuple[int, ...], int]]] = []
-    before = [(i,) for i in range(len(frequent))]
-    for n in range(2, ORDER + 1):
-        shorter = spark.sparkContext.broadcast(
-            np.array([_key(g, size) for g in before], dtype=np.int64) if n > 2 else None
-        )
+    return written(dealt_words(table).groupBy("bucket").applyInArrow(count_bucket, _SENT))
 
-        def grams(it: Iterator[pa.RecordBatch], n: int = n, shorter=shorter):
-            for batch in it:
-                for rows, codes, buckets, words in zip(*batch.columns):
-                    number = _numbers(words, buckets.as_py(), known.value)
-                    counted = np.repeat(
-                        rows.values.field("counted").to_numpy(zero_copy_only=False),
-                        rows.values.field("n_tokens").to_numpy(),
-                    )
-                    x = number[unpack_codes(codes.as_py())]
-                    x[~counted] = -1
-                    end = known.value.get(END, -1)
-                    at = x  # the (n-1)-gram that starts here, by number
-                    if n > 2:
-                        at = _grams_of(x, end, n - 1, size)
-                        table = np.sort(shorter.value)
-                        place = np.minimum(np.searchsorted(table, at), max(0, len(table) - 1))
-                        at = np.where(table[place] == at, at, -1) if len(table) else at * 0 - 1
-                    whole = _grams_of(x, end, n, size)
-                    m = len(whole)
-                    ok = (whole >= 0) & (at[:m] >= 0) & (at[1 : m + 1] >= 0)
-                    key, count = np.unique(whole[ok], return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key, pa.int64()), pa.array(count, pa.int64())], names=["gram", "n"]
-                    )
-
-        found = (
-            table.select("rows", "codes", "buckets", "words")
-            .mapInArrow(grams, "gram bigint, n bigint")
-            .groupBy("gram")
-            .agg(F.sum("n").alias("n"))
-            .where(F.col("n") >= least)
-            .collect()
-        )
-        ngrams.append(sorted((_gram(r["gram"], n, size), r["n"]) for r in found))
-        before = [g for g, _ in ngrams[-1]]
-    return build(total, distinct, frequent, ngrams), counts
 
+def _count_ngrams(
+    table: DataFrame, sent: DataFrame, n: int, least: float, n_buckets: int
+) -> DataFrame:
+    """State and count of all n-grams of a length by block, and, by bucket of the state
+    that they leave: how many arcs it has, the sum of their counts, and of the counts
+    of the n-grams without the first word."""
 
-def _key(gram: tuple[int, ...], size: int) -> int:
-    out = 0
-    for x in gram:
-        out = out * size + x
-    return out
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = [_Block(row, right, n, n_buckets).asked(row["block"], n) for row in left.to_pylist()]
+        return pa.concat_tables(made) if made else _table([])
 
+    def count_bucket(rows: pa.Table) -> pa.Table:
+        bucket = rows.column("bucket")[0].as_py()
+        states = [_unpack_sorted(x) for x in rows.column("a").to_pylist()]
+        state = np.concatenate(states)
+        word, counted, suffix = (
+            np.concatenate([_unpack(x) for x in rows.column(c).to_pylist()]) for c in "bcd"
+        )
+        _, first, at = np.unique(_joint(state, word), return_index=True, return_inverse=True)
+        count = _sums(at, len(first), counted)
+        ends = np.cumsum([len(x) for x in states])[:-1]
+        out = [
+            (PAIR if n == 2 else TRIPLE, block, bucket,
+             _pack(i * n_buckets + bucket) if n < ORDER else None, _pack(count[i]), None, None)
+            for block, i in zip(rows.column("block").to_pylist(), np.split(at, ends))
+        ]
+        kept = count >= least
+        left, arc = np.unique(state[first][kept], return_inverse=True)
+        sums = [_sums(arc, len(left), x) for x in (np.ones(len(arc)), count[kept], suffix[first][kept])]
+        to = left % n_buckets
+        order = np.argsort(to, kind="stable")
+        present, start = np.unique(to[order], return_index=True)
+        for b, i in zip(present, np.split(order, start[1:])):
+            out.append((SUMS, None, int(b), _pack_sorted(left[i]), *[_pack(x[i]) for x in sums]))
+        return _table(out)
+
+    asked = _by_block(table, sent, ask, _SENT)
+    return written(asked.groupBy("bucket").applyInArrow(count_bucket, _SENT))
+
+
+def _state_sums(states: DataFrame, arcs: DataFrame, kind: int, n_buckets: int) -> DataFrame:
+    """The sums over the arcs of every state, by block, in the order of the states."""
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [_unpack_sorted(x) for x in right.column("a").to_pylist()]
+        state, at = np.unique(np.concatenate([[-1], *found]), return_inverse=True)
+        sums = [
+            _sums(at, len(state), np.concatenate([[0], *map(_unpack, right.column(c).to_pylist())]))
+            for c in "bcd"
+        ]
+        out = []
+        for block, bucket, numbers in zip(*(left.column(c).to_pylist() for c in ("block", "bucket", "a"))):
+            numbers = _unpack(numbers)
+            place = np.searchsorted(state, numbers).clip(max=len(state) - 1)
+            here = state[place] == numbers
+            out.append((kind, block, bucket, *[_pack(np.where(here, x[place], 0)) for x in sums], None))
+        return _table(out)
 
-def _gram(key: int, n: int, size: int) -> tuple[int, ...]:
-    out = []
-    for _ in range(n):
-        key, last = divmod(key, size)
-        out.append(last)
-    return tuple(reversed(out))
+    return (
+        states.withColumn("to", F.col("bucket") % n_buckets)
+        .groupBy("to")
+        .cogroup(arcs.where(F.col("kind") == SUMS).withColumn("to", F.col("bucket")).groupBy("to"))
+        .applyInArrow(add, _SENT)
+    )
 
 
-def _grams_of(x: np.ndarray, end: int, n: int, size: int) -> np.ndarray:
-    """The n-gram at every place as one number, -1 where a word is not frequent or
-    the text ends before its last word. 1e5 words to the power of 3 fit 64 bits."""
-    m = max(0, len(x) - n + 1)
-    out, ok = np.zeros(m, dtype=np.int64), np.ones(m, dtype=bool)
-    for i in range(n):
-        part = x[i : i + m]
-        out = out * size + part
-        ok &= (part >= 0) & ((part != end) | (i == n - 1))
-    return np.where(ok, out, -1)
+def _by_block(
+    table: DataFrame, sent: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str
+) -> DataFrame:
+    return (
+        table.select("block", "rows", "codes", "buckets")
+        .groupBy("block")
+        .cogroup(sent.groupBy("block"))
+        .applyInArrow(f, schema)
+    )
 
 
 def score_texts(
@@ -267,39 +304,50 @@ def score_texts(
     Returns doc_id, n_tokens, n_known, train_tokens, base_score (unigrams with one
     added to every count) and score (the automaton). A NULL or empty text is one
     end; NULL in ``counted`` is false. Without training texts every token is
-    unknown with probability one. One row per row, whatever repeats.
+    unknown with probability one. One row per row, whatever repeats. A ``rate``
+    above zero leaves arcs to n-grams of that share of the training tokens.
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), counted)
     table = blocks(source, ["doc_id"], _words, "text", counted)
-    model, counts = train(table, rate)
-    sent = table.sparkSession.sparkContext.broadcast(model)
+    partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total = table.agg(F.sum("n_counted")).first()[0] or 0
+    least = max(1.0, rate * total)
+    # Words have 8 buckets a partition (see ``blocks``), a multiple of the n-grams'.
+    n_buckets = 2 * partitions
+    words = _count_words(table, 8 * partitions)
+    known = words.where("c IS NOT NULL").select("c").collect()  # one short row a bucket
+    distinct = sum(int(_unpack(bytes(r["c"]))[0]) for r in known)
+    pairs = _count_ngrams(table, words, 2, least, n_buckets)
+    states = pairs.where(F.col("kind") == PAIR)
+    triples = _count_ngrams(table, words.union(states), 3, least, n_buckets)
+    sent = (
+        words.union(states)
+        .union(triples.where(F.col("kind") == TRIPLE))
+        .union(_state_sums(words, pairs, WORD_SUMS, n_buckets))
+        .union(_state_sums(states, triples, PAIR_SUMS, n_buckets))
+    )
+    kind = source.schema["doc_id"].dataType.simpleString()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        model = sent.value
-        right = right.sort_by("bucket")
-        listed = np.concatenate(
-            [unpack_numbers(x, 8) for x in right.column("counts").to_pylist()] or [[]]
-        )
         out = []
-        for rows, codes, buckets, words in zip(*(left.column(c) for c in left.column_names[1:])):
-            count = listed[places(unpack_numbers(buckets.as_py()))]
-            root = model.unigram(count)
-            number = _numbers(words, buckets.as_py(), model.words)
-            codes = unpack_codes(codes.as_py())
-            at = 0
-            for row_id, n in zip(rows.values.field("doc_id"), rows.values.field("n_tokens")):
-                n = n.as_py()
-                part = codes[at : at + n]
-                at += n
-                alone = root[part]
+        for row in left.to_pylist():
+            block = _Block(row, right, ORDER, n_buckets)
+            start = np.concatenate([[0], np.cumsum(block.sizes)[:-1]])
+            count = block.word_count[block.codes]
+            alone = np.log10((count + 1) / (total + distinct + 1))
+            added = [
+                np.add.reduceat(x, start)
+                for x in ((count > 0).astype(np.int64), alone, block.scores(total, distinct, least))
+            ]
+            for r, n_known, base, whole in zip(block.rows, *(x.tolist() for x in added)):
                 out.append(
                     {
-                        "doc_id": row_id.as_py(),
-                        "n_tokens": n,
-                        "n_known": int((count[part] > 0).sum()),
-                        "train_tokens": model.total,
-                        "base_score": float(alone.sum()),
-                        "score": model.score(number[part].tolist(), alone.tolist()),
+                        "doc_id": r["doc_id"],
+                        "n_tokens": r["n_tokens"],
+                        "n_known": n_known,
+                        "train_tokens": total,
+                        "base_score": base,
+                        "score": whole,
                     }
                 )
         return pa.Table.from_pylist(
@@ -313,14 +361,10 @@ def score_texts(
             ),
         )
 
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return (
-        table.select("block", "rows", "codes", "buckets", "words")
-        .groupBy("block")
-        .cogroup(counts.select("block", "bucket", "counts").groupBy("block"))
-        .applyInArrow(
-            score,
-            f"doc_id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, "
-            "base_score double, score double",
-        )
+    return _by_block(
+        table,
+        sent,
+        score,
+        f"doc_id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, "
+        "base_score double, score double",
     )
