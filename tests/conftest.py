@@ -161,9 +161,3 @@ def make_tables(spark):
 @pytest.fixture
 def random_tables(make_tables):
     return make_tables(1)
-
-
-def rows(df, *columns):
-    """Sorted tuples of the given columns (default: all)."""
-    names = columns or df.columns
-    return sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr)

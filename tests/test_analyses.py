@@ -17,7 +17,7 @@ from arrearly.operators.activity import (
 from arrearly.operators.portfolio import managed_accounts
 from arrearly.params import AGREEMENT_CODES, RPC_CODES, rolling_months
 from catalog.fixtures import FUNNEL, PIVOT, WHOLE, StarTables, single_id
-from conftest import rows
+from support import rows
 
 SF_DIR = "/root/testdata/sf0.01"
 

@@ -1,7 +1,7 @@
 from datetime import date, datetime
 from decimal import Decimal
 
-from conftest import rows
+from support import rows
 from pyspark.sql import functions as F
 
 from arrearly import DayWindow

@@ -12,7 +12,7 @@ from arrearly.operators import scores
 from arrearly.operators.portfolio import third_party_exclusions
 from arrearly.sources.tables import prune_months
 from catalog.fixtures import MONTH, WHOLE
-from conftest import rows
+from support import rows
 
 
 @pytest.fixture

@@ -5,7 +5,7 @@ import pytest
 import arrearly as a
 from arrearly.sources.schemas import SCHEMAS
 from catalog.fixtures import FUNNEL, WHOLE, single_id
-from conftest import rows
+from support import rows
 
 CASES = {
     "staging": (
