@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import ODD, SF
+from llm.llm_support import ODD, SF
 
 from arrearly.llm import pu_quality, queries
 

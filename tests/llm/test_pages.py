@@ -4,7 +4,7 @@ import hashlib
 from collections import defaultdict
 
 import pytest
-from conftest import SF
+from llm.llm_support import SF
 from pyspark.sql import functions as F
 
 from arrearly.llm import html_text, queries, warc

@@ -1,9 +1,9 @@
 import random
 
-import brute
+from llm import brute
 import numpy as np
 import pytest
-from conftest import LONG, ODD, SF
+from llm.llm_support import LONG, ODD, SF
 
 from arrearly.llm import decontaminate, near_dup, queries
 from arrearly.llm.common import ALNUM, NOT_SPACE, Words

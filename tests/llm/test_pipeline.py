@@ -1,8 +1,8 @@
 """The stages against brute force, each on its own input, as the pipeline runs them."""
 
-import brute
+from llm import brute
 import pytest
-from conftest import SF
+from llm.llm_support import SF
 from pyspark.sql import functions as F
 
 import corpus_pipeline

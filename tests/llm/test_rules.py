@@ -1,6 +1,6 @@
-import brute
+from llm import brute
 import pytest
-from conftest import ODD, SF
+from llm.llm_support import ODD, SF
 
 from arrearly.llm import licenses, quality_rules, queries
 

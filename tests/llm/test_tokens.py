@@ -2,12 +2,12 @@ import hashlib
 import random
 import zlib
 
-import brute
+from llm import brute
 import numpy as np
 import pytest
 import regex
 import tiktoken
-from conftest import LONG, ODD, SF
+from llm.llm_support import LONG, ODD, SF
 from pyspark.sql import functions as F
 
 from arrearly.llm import blocks, bpe, ngram_lm, queries
