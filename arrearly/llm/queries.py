@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ from arrearly.llm import (
     near_dup,
     ngram_lm,
     oracle,
+    packing,
     pii,
     pu_quality,
     quality_rules,
@@ -148,6 +152,19 @@ def op10_pu_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = Path(public_tokenizers.path("word_bpe_49k.json")).read_text()
+    return packing.pack(documents(spark, sf_dir), vocabulary).select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_level_bpe": op2_byte_level_bpe,
@@ -159,6 +176,7 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_pu_quality_classifier": op10_pu_quality_classifier,
+    "op11_concat_and_cut": op11_concat_and_cut,
 }
 
 ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
