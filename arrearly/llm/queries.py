@@ -20,6 +20,7 @@ from arrearly.llm import (
     pii,
     pu_quality,
     quality_rules,
+    repair,
     warc,
 )
 from arrearly.llm.common import documents, fold_of, shared_folder
@@ -165,6 +166,15 @@ def op11_concat_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def op12_block_table_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = repair.damaged(conversations(spark, sf_dir))
+    return repair.digested(messages, repair.reports(messages, times="times"), times="times")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_level_bpe": op2_byte_level_bpe,
@@ -177,6 +187,7 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_pu_quality_classifier": op10_pu_quality_classifier,
     "op11_concat_and_cut": op11_concat_and_cut,
+    "op12_block_table_repair": op12_block_table_repair,
 }
 
 ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
