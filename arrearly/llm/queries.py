@@ -18,6 +18,7 @@ from arrearly.llm import (
     oracle,
     packing,
     pii,
+    prefix_trie,
     pu_quality,
     quality_rules,
     repair,
@@ -175,6 +176,10 @@ def op12_block_table_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digested(messages, repair.reports(messages, times="times"), times="times")
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(conversations(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_byte_level_bpe": op2_byte_level_bpe,
@@ -188,6 +193,7 @@ QUERIES = {
     "op10_pu_quality_classifier": op10_pu_quality_classifier,
     "op11_concat_and_cut": op11_concat_and_cut,
     "op12_block_table_repair": op12_block_table_repair,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = oracle.ORACLE_SQL
