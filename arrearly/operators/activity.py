@@ -6,17 +6,40 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arrearly.functions.bands import outcome_category, promise_end_date, strip_check_digit
 from arrearly.functions.calendar import day, month_start
+from arrearly.functions.digests import row_digest
 from arrearly.operators.keys import CUSTOMER_MONTH
 from arrearly.params import DayWindow
 
 
-def distinct_interactions(interactions: DataFrame) -> DataFrame:
+# What counts and categories of calls read of an event.
+CALL_COLUMNS = ("account_id", "start_ts", "kind", "outcome_code")
+# Assumed bytes of a value, and those of a digest in a shuffled row.
+_WIDTHS = {T.StringType: 20, T.BinaryType: 100, T.DecimalType: 16, T.BooleanType: 1, T.IntegerType: 4}
+_DIGEST = 32
+
+
+def distinct_interactions(
+    interactions: DataFrame, used: Sequence[str] | None = None
+) -> DataFrame:
     """Events without exact copies. Every column of the table takes part, also
-    those that no analysis reads."""
-    return interactions.dropDuplicates()
+    those that no analysis reads.
+
+    A caller that reads few columns names them and gets only those. Where the others are
+    wider than a digest, rows are compared by the SHA-256 of all their values, so
+    what is shuffled per event does not grow with the columns of the source.
+    """
+    if used is None:
+        return interactions.dropDuplicates()
+    others = [f.dataType for f in interactions.schema.fields if f.name not in used]
+    if sum(_WIDTHS.get(type(t), 8) for t in others) > _DIGEST:
+        digest = row_digest(interactions)
+        if digest is not None:
+            return interactions.select(digest.alias("_row"), *used).distinct().drop("_row")
+    return interactions.dropDuplicates().select(*used)
 
 
 def phone_calls(
@@ -63,8 +86,8 @@ def contact_activity(
     window: DayWindow,
 ) -> DataFrame:
     """Distinct calls per customer and month: all, effective contacts, agreements."""
-    calls = phone_calls(distinct_interactions(interactions), kind, window)
-    return calls.groupBy(*CUSTOMER_MONTH).agg(
+    events = distinct_interactions(interactions, CALL_COLUMNS)
+    return phone_calls(events, kind, window).groupBy(*CUSTOMER_MONTH).agg(
         F.count(F.lit(1)).alias("total_calls"),
         F.count_if(F.col("outcome_code").isin(*rpc_codes)).alias("total_contacts"),
         F.count_if(F.col("outcome_code").isin(*agreement_codes)).alias("total_agreements"),
@@ -130,7 +153,7 @@ def outcome_volume(
 ) -> DataFrame:
     """Distinct calls per month and executive outcome category."""
     return (
-        phone_calls(distinct_interactions(interactions), kind, window)
+        phone_calls(distinct_interactions(interactions, CALL_COLUMNS), kind, window)
         .withColumn("outcome_category", outcome_category("outcome_code", taxonomy))
         .groupBy("month", "outcome_category")
         .agg(F.count(F.lit(1)).alias("calls"))

@@ -104,18 +104,38 @@ def post_assignment_recovery(accounts: DataFrame, daily: DataFrame) -> DataFrame
 
 
 def recovery_by_account(accounts: DataFrame, daily: DataFrame) -> DataFrame:
-    """One row per account with ``n_days``, the days of ``post_assignment_recovery``,
-    and the sum of their payments. ``accounts`` must have unique rows.
+    """Each account with ``n_days``, the days of ``post_assignment_recovery``, and the
+    sum of their payments.
 
-    The grouping contains the join keys, so it needs no further shuffle.
+    Accounts and payment days of a customer-month stand in one order, latest day first
+    and payments before the accounts of their day: what an account recovers is the
+    running total where it stands. So no account is repeated per payment day and none
+    is put together again by all its columns. A group has at most ten accounts and 31 days.
     """
+    columns = accounts.columns
+    # A payment day has no account columns; which side a row is from, _payment says.
+    days = daily.select(
+        *CUSTOMER_MONTH,
+        F.col("payment_date").alias("record_date"),
+        F.col("paid_amount").alias("_paid"),
+        F.lit(1).alias("_payment"),
+    )
+    since = (
+        Window.partitionBy(*CUSTOMER_MONTH)
+        .orderBy(F.desc("record_date"), F.desc("_payment"))
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
     return (
-        post_assignment_recovery(accounts, daily)
-        .groupBy(*accounts.columns)
-        .agg(
-            F.count("payment_date").alias("n_days"),
-            F.sum("recovered_amount").alias("recovered_amount"),
+        accounts.withColumn("_payment", F.lit(0))
+        .unionByName(days, allowMissingColumns=True)
+        .withColumns(
+            {
+                "n_days": F.sum("_payment").over(since),
+                "recovered_amount": F.coalesce(F.sum("_paid").over(since), F.lit(0)),
+            }
         )
+        .where("_payment = 0")
+        .select(*columns, "n_days", "recovered_amount")
     )
 
 

@@ -887,12 +887,17 @@ add(
         FROM managed GROUP BY risk_bucket""",
 )
 
-# --- the source vocabularies and the published order ------------------------------------------
+# --- the source vocabularies, stored tables and the published order ------------------------------------------
 
 for _name, _same in (
     ("p02_staging_names", "p02"),
     ("p05_core_names", "p05"),
     ("p07_directory_names", "p07"),
+    ("p01a_by_month", "p01a"),
+    ("p02_by_month", "p02"),
+    ("p05_by_month", "p05"),
+    ("rolling_kpis_by_month", "rolling_kpis_year"),
+    ("contact_activity_wide", "contact_activity_monthly"),
 ):
     add(_name, *_PARTS[_same][:2], **_PARTS[_same][2])
 for _name, _of, _keys, _order in (

@@ -16,6 +16,8 @@ from arrearly.functions.rounding import percent
 from arrearly.operators import activity, metrics, payments, portfolio, scores
 from arrearly.params import AGREEMENT_CODES, OUTCOME_TAXONOMY, RPC_CODES, rolling_months
 from arrearly.plans import efficiency
+from arrearly.sources.layout import read_months, write_tables
+from arrearly.sources.storage import shared_folder
 from arrearly.sources.tables import conform
 from catalog.fixtures import (
     EXPOSURE_DATE,
@@ -188,6 +190,19 @@ def contact_activity_monthly(t):
     return _text_month(calls)
 
 
+@query
+def contact_activity_wide(t):
+    """Calls with ten long columns that no analysis reads, but the whole-row DISTINCT does."""
+    notes = {
+        f"note_{i}": F.repeat(F.sha2(F.concat_ws("|", F.lit(i), "agent_id", "start_ts"), 256), 3)
+        for i in range(10)
+    }
+    calls = activity.contact_activity(
+        t.interactions.withColumns(notes), WHOLE.phone_kind, RPC_CODES, AGREEMENT_CODES, SPAN
+    )
+    return _text_month(calls)
+
+
 @query
 def contact_flags(t):
     calls = activity.contact_activity(
@@ -580,6 +595,43 @@ def p07_directory_names(t):
     return a.predictive_efficiency(_as_read(t, a.DIRECTORY_NAMES), WHOLE)
 
 
+# --- tables stored by month --------------------------------------------------------------
+
+
+def _stored(t: a.Tables, settings: a.Settings, *names: str) -> a.Tables:
+    """The tables written by month, and of them the months that ``settings`` need."""
+    spark = t.portfolio.sparkSession
+    root = shared_folder(spark, "months")
+    write_tables(t, root, names)
+    return read_months(spark, root, settings, names)
+
+
+@query
+def p01a_by_month(t):
+    return a.assigned_by_month(_stored(t, PIVOT, "portfolio", "third_party"), PIVOT)
+
+
+@query
+def p02_by_month(t):
+    stored = _stored(t, WHOLE, "portfolio", "third_party", "scores", "payments")
+    return a.score_efficiency(stored, WHOLE)
+
+
+@single_id_query
+def p05_by_month(t):
+    names = ("portfolio", "third_party", "interactions", "payments", "exposure")
+    return a.monthly_funnel(_stored(t, FUNNEL, *names), FUNNEL)
+
+
+@query
+def rolling_kpis_by_month(t):
+    window = rolling_months(YEAR.end, 12)
+    stored = _stored(
+        t, WHOLE.during(window), "portfolio", "third_party", "interactions", "payments"
+    )
+    return a.rolling_kpis(stored, YEAR.end, settings=WHOLE)
+
+
 # --- published order ---------------------------------------------------------------------
 
 
