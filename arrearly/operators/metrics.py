@@ -137,18 +137,26 @@ def kpi_rates(counts: DataFrame) -> DataFrame:
     )
 
 
-def monthly_kpis(accounts: DataFrame) -> DataFrame:
-    """Assigned, contacted and agreeing customers and realized recovery per month
-    and bucket, with the rates. ``accounts`` has one row per account, with the
-    call counts and the net recovery: a customer's payments of a month count once,
-    in the bucket of its first account."""
-    per_customer = accounts.groupBy("customer_id", "month", "risk_bucket").agg(
+def customer_kpis(accounts: DataFrame) -> DataFrame:
+    """One row per customer, month and bucket: contacted, agreeing, recovery.
+
+    ``accounts`` has one row per account, with the call counts and the net recovery: a
+    customer's payments of a month count once, in the bucket of its first account.
+    """
+    return accounts.groupBy("customer_id", "month", "risk_bucket").agg(
         F.max(F.col("total_contacts") > 0).alias("rpc"),
         F.max(F.col("total_agreements") > 0).alias("agreed"),
         F.sum("recovered_amount").alias("recovered_amount"),
     )
+
+
+def monthly_kpis(accounts: DataFrame) -> DataFrame:
+    """Assigned, contacted and agreeing customers and realized recovery per month
+    and bucket, with the rates, from the accounts of ``customer_kpis``."""
     return kpi_rates(
-        per_customer.groupBy("month", "risk_bucket").agg(
+        customer_kpis(accounts)
+        .groupBy("month", "risk_bucket")
+        .agg(
             F.count(F.lit(1)).alias("assigned_customers"),
             F.count_if("rpc").alias("rpc_customers"),
             F.count_if("agreed").alias("agreement_customers"),

@@ -81,6 +81,11 @@ def kpis_by_month(tables: Tables, settings: Settings = STAGING) -> DataFrame:
 
 
 def _kpis(tables: Tables, settings: Settings) -> DataFrame:
+    return monthly_kpis(kpi_accounts(tables, settings)).transform(with_month_year).drop("month")
+
+
+def kpi_accounts(tables: Tables, settings: Settings) -> DataFrame:
+    """Managed accounts with the calls of their customer's month and the net recovery."""
     tables.check(settings)
     accounts = managed_accounts(
         tables.portfolio, tables.third_party, settings, used=("past_due", "balance")
@@ -95,11 +100,7 @@ def _kpis(tables: Tables, settings: Settings) -> DataFrame:
     daily = daily_payments(
         tables.payments, settings.payment_kind, settings.window, settings.whole_last_day
     )
-    return (
-        monthly_kpis(net_recovery(attach_contact(accounts, activity), daily))
-        .transform(with_month_year)
-        .drop("month")
-    )
+    return net_recovery(attach_contact(accounts, activity), daily)
 
 
 def rolling_kpis(

@@ -880,6 +880,16 @@ add(
     calls=calls(_LAST_YEAR),
     daily=daily(_LAST_YEAR),
 )
+add(
+    "span_kpis",
+    "managed bucket_customers activity",
+    """SELECT c.risk_bucket, count(DISTINCT c.customer_id) AS assigned_customers,
+              count(DISTINCT c.customer_id) FILTER (a.total_contacts > 0) AS rpc_customers,
+              count(DISTINCT c.customer_id) FILTER (a.total_agreements > 0)
+                  AS agreement_customers
+       FROM bucket_customers c LEFT JOIN activity a USING (customer_id, month_year)
+       GROUP BY ALL""",
+)
 add(
     "rolling_months_pivot",
     "managed",
@@ -898,6 +908,8 @@ for _name, _same in (
     ("p05_by_month", "p05"),
     ("rolling_kpis_by_month", "rolling_kpis_year"),
     ("contact_activity_wide", "contact_activity_monthly"),
+    ("kpi_rates_from_states", "kpi_rates"),
+    ("rolling_kpis_month_added", "rolling_kpis_year"),
 ):
     add(_name, *_PARTS[_same][:2], **_PARTS[_same][2])
 for _name, _of, _keys, _order in (

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
+from datetime import date
 from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,7 +17,7 @@ from arrearly.functions.calendar import month_key
 from arrearly.functions.rounding import percent
 from arrearly.operators import activity, metrics, payments, portfolio, scores
 from arrearly.params import AGREEMENT_CODES, OUTCOME_TAXONOMY, RPC_CODES, rolling_months
-from arrearly.plans import efficiency
+from arrearly.plans import efficiency, funnel, states
 from arrearly.sources.layout import read_months, write_tables
 from arrearly.sources.storage import shared_folder
 from arrearly.sources.tables import conform
@@ -632,6 +634,38 @@ def rolling_kpis_by_month(t):
     return a.rolling_kpis(stored, YEAR.end, settings=WHOLE)
 
 
+# --- month states -------------------------------------------------------------------------
+
+
+@query
+def kpi_rates_from_states(t):
+    return states.kpis_from_states(a.kpi_states(t, WHOLE))
+
+
+@query
+def rolling_kpis_month_added(t):
+    """Eleven months of states, and then the twelfth, from the stored tables of its month."""
+    spark, root = t.portfolio.sparkSession, shared_folder(t.portfolio.sparkSession, "states")
+    before = WHOLE.during(rolling_months(date(1996, 12, 31), 11))
+    # Only the last day of the whole window is cut short.
+    a.write_states(a.kpi_states(t, dataclasses.replace(before, whole_last_day=True)), root)
+    month = WHOLE.during(rolling_months(YEAR.end, 1))
+    stored = _stored(t, month, "portfolio", "third_party", "interactions", "payments")
+    a.write_states(a.kpi_states(stored, month), root)
+    return a.rolling_kpis_from_states(spark, root, YEAR.end)
+
+
+@query
+def span_kpis(t):
+    """Customers once over all months, with ids moved up to the end of the 64-bit range."""
+    customers = metrics.customer_kpis(funnel.kpi_accounts(t, WHOLE)).withColumn(
+        "customer_id", F.lit(2**63 - 1) - F.col("customer_id")
+    )
+    stages = {"assigned": F.lit(True), "rpc": F.col("rpc"), "agreed": F.col("agreed")}
+    sets = states.customer_sets(customers, ["month", "risk_bucket"], stages)
+    return states.set_sizes(sets, ["risk_bucket"], states.COUNTS)
+
+
 # --- published order ---------------------------------------------------------------------
 
 
