@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from arrearly.params import DayWindow, Settings, score_window
 from arrearly.sources.schemas import SCHEMAS
+from arrearly.sources.times import parse_times
 
 
 @dataclass(frozen=True)
@@ -26,6 +27,8 @@ class Tables:
     exposure: DataFrame | None = None
     # What month partitions were read for, if not all.
     read_for: Settings | None = None
+    # By table, the rows whose text times could not be read (see ``times``).
+    rejected: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def check(self, settings: Settings) -> None:
         """An error if the partitions that were read do not cover ``settings``: a
@@ -135,6 +138,7 @@ def read_tables(
     names: Mapping[str, Mapping[str, str]] | None = None,
     month_columns: Mapping[str, str] | None = None,
     settings: Settings | None = None,
+    time_styles: Mapping[str, str | Mapping[str, str]] | None = None,
 ) -> Tables:
     """Read the given tables: a location with a '/' is a Parquet path, any other
     one a catalog table. ``names`` is the vocabulary (see ``schemas``).
@@ -144,6 +148,9 @@ def read_tables(
     of the window, for scores those of the lag, for exposure that of its day. An
     analysis that needs others is refused. The partition column is dropped: it
     is not a part of the row for a whole-row DISTINCT.
+
+    ``time_styles`` names the tables whose times are texts, with the style of these; rows
+    with a text that is no time are not in the table but in ``rejected``.
     """
     windows = {}
     if settings is not None:
@@ -154,7 +161,7 @@ def read_tables(
         else:
             windows["exposure"] = DayWindow(settings.exposure_date, settings.exposure_date)
     pruned = False
-    frames = {}
+    frames, rejected = {}, {}
     for table, location in locations.items():
         df = spark.read.parquet(location) if "/" in location else spark.table(location)
         month_column = (month_columns or {}).get(table)
@@ -163,6 +170,10 @@ def read_tables(
                 df = prune_months(df, month_column, windows[table])
                 pruned = True
             df = df.drop(month_column)
-        df = conform(df, table, (names or {}).get(table))
+        df = df.withColumnsRenamed(dict((names or {}).get(table, {})))
+        if table in (time_styles or {}):
+            parsed = parse_times(df, table, time_styles[table])
+            df, rejected[table] = parsed.rows, parsed.rejected
+        df = conform(df, table)
         frames[table] = require(df, table, *_KEYS[table])
-    return Tables(**frames, read_for=settings if pruned else None)
+    return Tables(**frames, read_for=settings if pruned else None, rejected=rejected)

@@ -180,7 +180,7 @@ def single_id(tables: Tables | StarTables) -> Tables:
 
 def replace(tables: Tables | StarTables, **frames: DataFrame) -> Tables:
     """The same tables, some of them other ones."""
-    names = Tables.__dataclass_fields__.keys() - {"read_for"}
+    names = Tables.__dataclass_fields__.keys() - {"read_for", "rejected"}
     return Tables(**{n: frames.get(n, getattr(tables, n)) for n in names})
 
 

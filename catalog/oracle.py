@@ -405,6 +405,16 @@ add(
         FROM (SELECT DISTINCT * FROM interactions) GROUP BY ALL""",
 )
 add("contact_activity_monthly", "activity", "SELECT * FROM activity")
+add(
+    "rejected_times",
+    "interactions",
+    """SELECT CASE WHEN start_ts IS NULL THEN 'kept'
+                   WHEN agent_id % 5 = 0 THEN 'start_ts: value'
+                   WHEN agent_id % 5 = 1 THEN 'start_ts: form'
+                   ELSE 'kept' END AS fault,
+              count(*) AS rows
+       FROM interactions GROUP BY ALL""",
+)
 add(
     "contact_flags",
     "managed activity",
@@ -910,6 +920,7 @@ for _name, _same in (
     ("contact_activity_wide", "contact_activity_monthly"),
     ("kpi_rates_from_states", "kpi_rates"),
     ("rolling_kpis_month_added", "rolling_kpis_year"),
+    ("p05_text_times", "p05"),
 ):
     add(_name, *_PARTS[_same][:2], **_PARTS[_same][2])
 for _name, _of, _keys, _order in (

@@ -21,6 +21,7 @@ from arrearly.plans import efficiency, funnel, states
 from arrearly.sources.layout import read_months, write_tables
 from arrearly.sources.storage import shared_folder
 from arrearly.sources.tables import conform
+from arrearly.sources.times import parse_times, rejected_counts
 from catalog.fixtures import (
     EXPOSURE_DATE,
     FUNNEL,
@@ -634,6 +635,44 @@ def rolling_kpis_by_month(t):
     return a.rolling_kpis(stored, YEAR.end, settings=WHOLE)
 
 
+# --- times as text ----------------------------------------------------------------------
+
+
+def _as_text(df: DataFrame, pattern: str, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, pattern) for c in columns})
+
+
+@single_id_query
+def p05_text_times(t):
+    """Every table with its times as text, each in another style."""
+    second = "yyyy-MM-dd HH:mm:ss"
+    texts = {
+        "portfolio": (_as_text(t.portfolio, "dd/MM/yyyy HH:mm:ss", "load_ts"), "day_first"),
+        "third_party": (_as_text(t.third_party, "MM/dd/yyyy HH:mm", "load_ts"), "month_first"),
+        "interactions": (_as_text(t.interactions, second, "start_ts"), "iso"),
+        "payments": (_as_text(t.payments, "yyyy-MM-dd'T'HH:mm:ss.SSS", "payment_ts"), "iso"),
+        "exposure": (_as_text(t.exposure, "yyyyMMdd", "snapshot_date"), "compact"),
+    }
+    frames = {n: parse_times(df, n, style).rows for n, (df, style) in texts.items()}
+    return a.monthly_funnel(replace(t, **frames), FUNNEL)
+
+
+@query
+def rejected_times(t):
+    """Calls with texts that are no times: how many rows are kept, and why not the others."""
+    digit = F.col("agent_id") % 5
+    start = F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss")
+    text = (
+        F.when(digit == 0, F.concat(F.date_format("start_ts", "yyyy-MM"), F.lit("-32")))
+        .when(digit == 1, F.date_format("start_ts", "dd/MM/yyyy"))
+        .when(digit == 2, F.lit(None))
+        .otherwise(start)
+    )
+    calls = parse_times(t.interactions.withColumn("start_ts", text), "interactions")
+    kept = calls.rows.groupBy(F.lit("kept").alias("fault")).agg(F.count(F.lit(1)).alias("rows"))
+    return rejected_counts(calls.rejected).unionByName(kept)
+
+
 # --- month states -------------------------------------------------------------------------
 
 
