@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StructField, StructType
 
 from arrearly.llm.common import written
 
@@ -129,6 +129,17 @@ def _block(rows: pa.Table, sizes: np.ndarray, tokens: pa.ChunkedArray, n_buckets
     }
 
 
+def nullable(kind: DataType) -> DataType:
+    """The type with NULL allowed at every level, as Arrow columns come back."""
+    if isinstance(kind, StructType):
+        return StructType([StructField(f.name, nullable(f.dataType)) for f in kind.fields])
+    if isinstance(kind, ArrayType):
+        return ArrayType(nullable(kind.elementType))
+    if isinstance(kind, MapType):
+        return MapType(nullable(kind.keyType), nullable(kind.valueType))
+    return kind
+
+
 def blocks(
     docs: DataFrame,
     kept: list[str],
@@ -146,15 +157,19 @@ def blocks(
     """
     n_buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(
-        *kept, F.coalesce(F.col(counted) if counted else F.lit(True), F.lit(False)).alias("counted"), F.col(column)
+        *(F.col(c).cast(nullable(docs.schema[c].dataType)).alias(c) for c in kept),
+        F.coalesce(F.col(counted) if counted else F.lit(True), F.lit(False)).alias("counted"),
+        F.col(column),
     )
-    row = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in source.schema[: len(kept)])
-    schema = (
-        f"block bigint, rows array<struct<{row}, counted: boolean, n_tokens: bigint>>, "
+    # Types are put together as such: a nested column may have any name.
+    row = StructType([*source.schema.fields[: len(kept)], *StructType.fromDDL("counted boolean, n_tokens bigint").fields])
+    rest = StructType.fromDDL(
         "n_counted bigint, codes binary, buckets binary, "
         "words array<struct<bucket: int, words: binary, counts: binary>>"
     )
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    schema = StructType.fromDDL("block bigint").add("rows", ArrayType(row))
+    schema = StructType([*schema.fields, *rest.fields])
+    arrow = to_arrow_schema(schema)
 
     def pieces(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, sizes, tokens, total = [], [], [], 0

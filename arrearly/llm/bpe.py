@@ -18,10 +18,12 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from arrearly.llm.blocks import (
     blocks,
     dealt_words,
+    nullable,
     pack_numbers,
     places,
     ragged,
@@ -106,10 +108,24 @@ def _flat(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return column.flatten().cast(pa.binary()), sizes
 
 
+def _token_bytes(ranks: Ranks) -> list[bytes]:
+    """The bytes of every id, by id."""
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
+
+
 def encode(
-    docs: DataFrame, ranks: Ranks, pattern: str, kept: Iterable[str] = ("doc_id",), text: str = "text"
+    docs: DataFrame,
+    ranks: Ranks,
+    pattern: str,
+    kept: Iterable[str] = ("doc_id",),
+    text: str = "text",
+    decoded: bool = False,
 ) -> DataFrame:
-    """The ``kept`` columns of every row with ``n_tokens`` and ``ids`` (array<int>).
+    """The ``kept`` columns of every row with ``n_tokens`` and ``ids`` (array<int>), and if
+    asked for ``decoded``, the bytes of the ids, as ``decode`` gives them.
 
     Special tokens are not recognised. A NULL text is an empty one, without
     ids. One row comes back per row, repeated rows and NULL ids included; an
@@ -120,6 +136,8 @@ def encode(
     if any(bytes([b]) not in ranks for b in range(256)):
         raise ValueError("the ranks lack some single byte, so some texts have no ids")
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
+    # In the worker that puts the ids together: a second one per core would cost memory.
+    sent_bytes = docs.sparkSession.sparkContext.broadcast(_token_bytes(ranks) if decoded else [])
     tokens = F.regexp_extract_all(
         F.coalesce(F.col(text), F.lit("")), F.lit(_java(pattern)), F.lit(0)
     )
@@ -150,8 +168,9 @@ def encode(
         .groupBy("bucket")
         .applyInArrow(encode_bucket, "block bigint, bucket int, sizes binary, ids binary")
     )
-    fields = [docs.schema[c] for c in kept]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    results = "n_tokens bigint, ids array<int>" + ", decoded binary" * decoded
+    fields = [StructField(c, nullable(docs.schema[c].dataType)) for c in kept]
+    schema = StructType([*fields, *StructType.fromDDL(results).fields])
 
     def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
@@ -172,22 +191,22 @@ def encode(
                 for c in np.split(codes, np.cumsum(n)[:-1])
             ]
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            out.append(
-                pa.table(
-                    {c: rows.field(c) for c in kept}
-                    | {
-                        "n_tokens": pa.array(list(map(len, ids)), pa.int64()),
-                        "ids": pa.ListArray.from_arrays(ends, np.concatenate(ids)),
-                    }
-                )
-            )
+            made = {c: rows.field(c) for c in kept} | {
+                "n_tokens": pa.array(list(map(len, ids)), pa.int64()),
+                "ids": pa.ListArray.from_arrays(ends, np.concatenate(ids)),
+            }
+            if decoded:
+                token = sent_bytes.value.__getitem__
+                texts = [b"".join(map(token, x.tolist())) for x in ids]
+                made["decoded"] = pa.array(texts, pa.binary())
+            out.append(pa.table(made))
         return pa.concat_tables(out)
 
     return (
         table.select("block", "rows", "codes", "buckets")
         .groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(reassemble, f"{schema}, n_tokens bigint, ids array<int>")
+        .applyInArrow(reassemble, schema)
     )
 
 
@@ -199,9 +218,7 @@ def decode(encoded: DataFrame, ranks: Ranks, ids_digest: bool = False) -> DataFr
     ``decoded`` is replaced. ``ids_digest`` adds ``ids_sha256`` in the same pass,
     of the ids as little-endian 32-bit numbers.
     """
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        table[rank] = token
+    table = _token_bytes(ranks)
     sent = encoded.sparkSession.sparkContext.broadcast(table)
     fields = "decoded binary" + ", ids_sha256 string" * ids_digest
     column = encoded.drop("decoded", *["ids_sha256"] * ids_digest).columns.index("ids")

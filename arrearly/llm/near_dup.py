@@ -104,8 +104,8 @@ def _digests(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(bands(samples(s)).view(np.int64) if len(s) else [])
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-             pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "digest", "bands"],
+             pa.array(keys, pa.list_(pa.int64())), *batch.columns[2:]],
+            names=["doc_id", "n_shingles", "digest", "bands", *batch.schema.names[2:]],
         )
 
 
@@ -182,20 +182,29 @@ def _forest(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tag: str | None = None
+) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, and if asked for
+    ``tag``, a number of the row as it came.
 
     ``component_id`` is the smallest doc_id that links lead to. Texts without a
     word (NULL, empty) have no shingles and are linked with nothing; fewer words
     than a shingle make one shingle. A row without an id takes no part: its
     component is NULL and it is kept. Rows that repeat an id get equal results.
-    Only the two named columns are read, so others cannot clash.
+    Only the named columns are read, so others cannot clash.
     """
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    tags = [F.col(tag).cast("bigint").alias("tag")] if tag else []
+    tagged = docs.select(
+        F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *tags
+    )
     # Written, so that the costly samples are taken once.
     all_docs = written(
-        source.mapInArrow(
-            _digests, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
+        tagged.mapInArrow(
+            _digests,
+            "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>"
+            + ", tag bigint" * len(tags),
         )
     )
     with_words = all_docs.where("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -218,13 +227,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     component = reps.join(result, "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component")
     )
-    found = all_docs.select("doc_id", "n_shingles", "digest").join(component, "digest", "left")
+    carried = ["tag"] * len(tags)
+    found = all_docs.select("doc_id", "n_shingles", "digest", *carried).join(component, "digest", "left")
     component_id = F.when(
         F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("component")
     ).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component_id.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return found.select(
+        "doc_id", "n_shingles", component_id.alias("component_id"), *carried
+    ).select("doc_id", "n_shingles", "component_id", kept.alias("kept"), *carried)
 
 
 def _links(source: DataFrame, clusters: DataFrame) -> DataFrame:

@@ -78,3 +78,57 @@ def test_no_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF))
         assert docs.count() == 0
+
+
+EXTRA = ["n_tokens", "counted", "score", "predicted", "n_words", "n_hit", "item_ids", "contaminated",
+         "n_entities", "digest", "tag", "rest", "my col", "a`b", "component_id", "kept", "block"]
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES], ids=[n for n, _ in corpus_pipeline.STAGES])
+def test_extra_columns_come_through(spark, stage):
+    """Columns with the names of results, spaces and quotes, and a nested one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    marks = {c: F.concat_ws("/", F.lit(c), "doc_id") for c in EXTRA}
+    wide = docs.withColumns(marks).withColumn("nested", F.struct(F.array("lang").alias("x y")))
+    out = stage(spark, wide, SF)
+    last = stage is corpus_pipeline.tokens
+    names = [c for c in wide.columns if not (last and c in ("n_tokens", "text"))]
+    assert [c for c in out.columns if c in names] == names
+    rows = out.collect()
+    assert rows
+    for r in rows:
+        for c in EXTRA:
+            assert r[c] == (len(r["ids"]) if last and c == "n_tokens" else f"{c}/{r.doc_id}")
+        assert r.nested[0] == [r.lang]
+
+
+LONG_A = "alpha beta gamma delta " + " ".join(f"w{i}" for i in range(60))
+OTHER = "quite another text of many words " + " ".join(f"z{i}" for i in range(60))
+
+
+def test_near_dedup_of_repeated_ids(spark):
+    rows = [(1, LONG_A), (1, LONG_A), (2, LONG_A), (2, OTHER), (None, LONG_A), (None, LONG_A),
+            (3, None), (3, None), (4, ""), (4, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit(1))
+    out = corpus_pipeline.near_dedup(spark, docs, SF)
+    found = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+    want = [(1, LONG_A), (2, OTHER), *rows[4:]]
+    assert found == sorted(want, key=repr)
+
+
+def test_near_copies_of_one_id(spark):
+    """Two near copies with the same smallest id: one of them stays."""
+    near = LONG_A + " tail"
+    docs = spark.createDataFrame([(1, LONG_A), (1, near), (5, LONG_A)], "doc_id long, text string")
+    out = corpus_pipeline.near_dedup(spark, docs, SF).collect()
+    assert len(out) == 1 and out[0].doc_id == 1 and out[0].text in (LONG_A, near)
+
+
+def test_null_ids_and_texts_reach_the_end(spark):
+    rows = [(None, LONG_A), (7, None), (8, ""), (None, None), (9, OTHER), (9, OTHER)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        docs = written(stage(spark, docs, SF))
+    found = sorted(((r.doc_id, r.text) for r in docs.collect()), key=repr)
+    want = [(i, t or "") for i, t in rows[:5]]
+    assert found == sorted(want, key=repr)
