@@ -8,6 +8,7 @@ markers and indentation, and the cells of a table are aligned in columns.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -56,9 +57,13 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _HIDDEN_STYLE = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-#: Cells are padded up to this width; wider ones push the row, so output stays linear.
-PAD = 60
-#: Deeper elements are added to their ancestor at this depth.
+#: Lines of cells are wrapped at this width, so that columns stay aligned and output linear.
+WIDEST = 60
+#: Spans are as long as the standard lets them be; places below a cell that spans rows are
+#: kept free in so many columns.
+COLUMNS, ROWS = 1000, 65534
+#: Elements below this depth stand in their ancestor at this depth: they end, hide and
+#: break lines as ever, but do not imply the ends of one another.
 DEEPEST = 512
 
 
@@ -81,11 +86,15 @@ def tree(html: str) -> Node:
     """The element tree; every text has one, whatever its tags are like."""
     root = Node("html")
     stack = [root]
+    deep = _Deep()
     at = 0
 
     def text(piece: str) -> None:
-        if piece:
-            stack[-1].children.append(unescape(piece) if "&" in piece else piece)
+        if not piece or deep.hidden:
+            return
+        if stack[-1].tag == "head" and piece.strip():
+            stack.pop()
+        stack[-1].children.append(unescape(piece) if "&" in piece else piece)
 
     def close(tags: set[str], boundary: set[str]) -> None:
         """Ends the outermost open element of ``tags`` inside the boundary."""
@@ -115,7 +124,11 @@ def tree(html: str) -> Node:
         tag = m[2].lower()
         if m[1]:
             if tag == "br":
-                stack[-1].children.append(Node("br"))
+                if not deep.hidden:
+                    stack[-1].children.append(Node("br"))
+            elif deep.closed(tag):
+                if tag in BLOCK and not deep.hidden:
+                    stack[-1].children.append(Node("div"))
             elif tag not in ("html", "body"):
                 close_at = next(
                     (
@@ -127,17 +140,20 @@ def tree(html: str) -> Node:
                 )
                 if close_at and stack[close_at].tag == tag:
                     del stack[close_at:]
+                    deep.clear()
             continue
         if tag == "html" or (tag == "body" and any(n.tag == "body" for n in stack)):
             continue
-        if tag in IMPLIED_ENDS:
-            close(*IMPLIED_ENDS[tag])
-        if tag in CLOSES_P:
-            close({"p"}, _SCOPE)
+        if not deep.tags:
+            if tag in IMPLIED_ENDS:
+                close(*IMPLIED_ENDS[tag])
+            if tag in CLOSES_P:
+                close({"p"}, _SCOPE)
         if stack[-1].tag == "head" and tag not in INVISIBLE:
             stack.pop()
         node = Node(tag, _attributes(m[3]))
-        stack[-1].children.append(node)
+        if not deep.hidden:
+            stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b", re.I).search(html, at)
             stop = end.start() if end else len(html)
@@ -146,9 +162,44 @@ def tree(html: str) -> Node:
             at = html.find(">", stop) + 1 if end and html.find(">", stop) >= 0 else len(html)
         elif tag not in VOID and len(stack) < DEEPEST:
             stack.append(node)
+        elif tag not in VOID:
+            deep.opened(tag, _hidden(node))
     return root
 
 
+class _Deep:
+    """The open elements below the greatest depth: their tags, and whether one is hidden."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.tags: list[str] = []
+        self.number: Counter[str] = Counter()
+        self.hidden_at = 0  # elements from the first hidden one on; 0 if none is
+
+    @property
+    def hidden(self) -> bool:
+        return self.hidden_at > 0
+
+    def opened(self, tag: str, hidden: bool) -> None:
+        self.tags.append(tag)
+        self.number[tag] += 1
+        if hidden and not self.hidden_at:
+            self.hidden_at = len(self.tags)
+
+    def closed(self, tag: str) -> bool:
+        """Whether the end tag belongs here; it ends what is open inside, too."""
+        if not self.number[tag]:
+            return False
+        while (last := self.tags.pop()) != tag:
+            self.number[last] -= 1
+        self.number[tag] -= 1
+        if len(self.tags) < self.hidden_at:
+            self.hidden_at = 0
+        return True
+
+
 def _hidden(node: Node) -> bool:
     a = node.attributes
     if node.tag in INVISIBLE or "hidden" in a or (node.tag == "dialog" and "open" not in a):
@@ -202,20 +253,84 @@ class _Page:
         return "".join(self.parts).strip("\n")
 
 
-def _grid(rows: list[list[str]]) -> str:
-    rows = [r for r in rows if any(r)]
-    width: list[int] = []
+class _Table:
+    """Cells by the column where they begin, as row and column spans place them."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[tuple[int, str]]] = []
+        self.taken: list[int] = []  # by column, the row that is free again
+        self.next = 0
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.next = 0
+
+    def cell(self, text: str, across: int, down: int) -> None:
+        if not self.rows:
+            self.row()
+        at, row = self.next, len(self.rows) - 1
+        while at < len(self.taken) and self.taken[at] > row:
+            at += 1
+        self.rows[-1].append((at, text))
+        self.next = at + across
+        if down > 1 and at < COLUMNS:
+            end = min(self.next, COLUMNS)
+            self.taken += [0] * (end - len(self.taken))
+            for i in range(at, end):
+                self.taken[i] = max(self.taken[i], row + down)
+
+    def section(self) -> None:
+        """Cells do not reach beyond the group of rows that they are in."""
+        self.taken.clear()
+
+
+def _span(node: Node, name: str, most: int) -> int:
+    value = node.attributes.get(name, "1").strip()
+    if not (value.isascii() and value.isdecimal()):
+        return 1
+    n = most if len(value) > 6 else min(int(value), most)
+    return n or (most if name == "rowspan" else 1)  # 0: all rows that follow
+
+
+def _wrapped(text: str) -> list[str]:
+    """The lines of a cell; long ones are broken between words, never inside one."""
+    out = []
+    for line in text.split("\n"):
+        if len(line) <= WIDEST:
+            out.append(line)
+            continue
+        part, size = [], 0
+        for word in line.split(" "):
+            if part and size + len(word) > WIDEST:
+                out.append(" ".join(part))
+                part, size = [], 0
+            part.append(word)
+            size += len(word) + 1
+        out.append(" ".join(part))
+    return out
+
+
+def _grid(table: _Table) -> str:
+    """Rows of text with aligned columns, two spaces apart; columns in which no cell begins
+    take no room. A cell over several columns stands in its first one."""
+    rows = [[(at, _wrapped(text)) for at, text in row if text] for row in table.rows]
+    width: dict[int, int] = {}
     for row in rows:
-        for i, cell in enumerate(row):
-            longest = max((len(x) for x in cell.split("\n")), default=0)
-            width += [0] * (i + 1 - len(width))
-            width[i] = max(width[i], min(PAD, longest))
+        for at, lines in row:
+            width[at] = max(width.get(at, 0), min(WIDEST, max(map(len, lines))))
+    start, offset = {}, 0
+    for c in sorted(width):
+        start[c] = offset
+        offset += width[c] + 2 if width[c] else 0
     out = []
     for row in rows:
-        cells = [c.split("\n") for c in row]
-        for k in range(max(map(len, cells))):
-            line = [(c[k] if k < len(c) else "").ljust(width[i]) for i, c in enumerate(cells)]
-            out.append("  ".join(line).rstrip())
+        for k in range(max((len(lines) for _, lines in row), default=0)):
+            line = ""
+            for at, lines in row:
+                if k < len(lines) and lines[k]:
+                    gap = "  " if line and len(line) + 2 > start[at] else ""
+                    line = (line + gap).ljust(start[at]) + lines[k]
+            out.append(line.rstrip())
     return "\n".join(out)
 
 
@@ -223,7 +338,7 @@ def render(root: Node) -> str:
     """The visible text of a tree, without recursion, so depth does not matter."""
     pages = [_Page()]
     lists: list[list] = []  # [tag, next number]
-    tables: list[list[list[str]]] = []
+    tables: list[_Table] = []
     todo: list[tuple[Node | str, bool]] = [(root, False)]
     pre = 0
     while todo:
@@ -258,9 +373,9 @@ def render(root: Node) -> str:
             elif tag in ("blockquote", "dd"):
                 page.indent += 2
             elif tag == "table":
-                tables.append([])
+                tables.append(_Table())
             elif tag == "tr" and tables:
-                tables[-1].append([])
+                tables[-1].row()
             elif tag in ("td", "th") and tables:
                 pages.append(_Page())
             elif tag in ("option", "button", "select", "textarea"):
@@ -284,12 +399,10 @@ def render(root: Node) -> str:
             page.indent -= 2
         elif tag in ("td", "th") and tables:
             cell = pages.pop().text()
-            if not tables[-1]:
-                tables[-1].append([])
-            span = node.attributes.get("colspan", "1")
-            span = min(int(span), 100) if span.isdecimal() and len(span) < 6 else 1
-            tables[-1][-1] += [cell] + [""] * (span - 1)
+            tables[-1].cell(cell, _span(node, "colspan", COLUMNS), _span(node, "rowspan", ROWS))
             continue
+        elif tag in ("thead", "tbody", "tfoot") and tables:
+            tables[-1].section()
         elif tag == "table":
             grid = _grid(tables.pop())
             if grid:
