@@ -182,12 +182,12 @@ def training_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         .where("least = 1")
         .select("doc_id")
     )
-    # In the order of a hash, the first so many in expectation.
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    # In the order of a hash, the first so many in expectation. The hash has 64 bits, so
+    # there is no number of rows of which it would select none.
 
     def about(df: DataFrame) -> DataFrame:
         share = min(1.0, sample / max(1, df.count()))
-        return df.where(place < int(share * 1_000_000))
+        return df.where(F.xxhash64("doc_id") <= F.lit(round(share * (2**64 - 1)) - 2**63))
 
     def gathered(df: DataFrame) -> np.ndarray:
         def measure(batch: pa.RecordBatch) -> list[pa.Array]:
