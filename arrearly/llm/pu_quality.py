@@ -187,7 +187,8 @@ def training_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     def about(df: DataFrame) -> DataFrame:
         share = min(1.0, sample / max(1, df.count()))
-        return df.where(F.xxhash64("doc_id") <= F.lit(round(share * (2**64 - 1)) - 2**63))
+        last = min(int(share * 2**64) - 2**63, 2**63 - 1)
+        return df.where(F.xxhash64("doc_id") <= F.lit(last))
 
     def gathered(df: DataFrame) -> np.ndarray:
         def measure(batch: pa.RecordBatch) -> list[pa.Array]:
