@@ -37,6 +37,8 @@ from arrearly.llm.common import written
 BLOCK_TOKENS = 1_000_000
 #: Texts that are cut into tokens at a time.
 _TEXTS = 64
+#: Texts that are sent to a worker at a time.
+_BATCH = 1000
 _ZSTD = pa.Codec("zstd", compression_level=3)
 
 
@@ -192,10 +194,18 @@ def blocks(
                 if total >= block_tokens:
                     yield closed()
                     rows, sizes, tokens, total = [], [], [], 0
+                    pa.default_memory_pool().release_unused()
         if rows:
             yield closed()
 
-    return written(source.mapInArrow(pieces, schema), bucket_by="block")
+    # Texts come as arrays of tokens, so few of them make a large batch.
+    spark, size = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, str(min(_BATCH, int(before)) if int(before) > 0 else _BATCH))
+    try:
+        return written(source.mapInArrow(pieces, schema), bucket_by="block")
+    finally:
+        spark.conf.set(size, before)
 
 
 def dealt_words(table: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from arrearly.llm.blocks import (
+    BLOCK_TOKENS,
     blocks,
     dealt_words,
     nullable,
@@ -123,6 +124,7 @@ def encode(
     kept: Iterable[str] = ("doc_id",),
     text: str = "text",
     decoded: bool = False,
+    block_tokens: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """The ``kept`` columns of every row with ``n_tokens`` and ``ids`` (array<int>), and if
     asked for ``decoded``, the bytes of the ids, as ``decode`` gives them.
@@ -130,7 +132,8 @@ def encode(
     Special tokens are not recognised. A NULL text is an empty one, without
     ids. One row comes back per row, repeated rows and NULL ids included; an
     empty table gives an empty one. ``ranks`` must hold all 256 single bytes;
-    its size bounds what is sent to the workers.
+    its size bounds what is sent to the workers. Smaller ``block_tokens`` take less memory
+    of a worker and more dictionaries.
     """
     kept = list(kept)
     if any(bytes([b]) not in ranks for b in range(256)):
@@ -142,7 +145,7 @@ def encode(
         F.coalesce(F.col(text), F.lit("")), F.lit(_java(pattern)), F.lit(0)
     )
     source = docs.select(*kept, tokens.alias("pre_tokens"))
-    table = blocks(source, kept, _flat, "pre_tokens")
+    table = blocks(source, kept, _flat, "pre_tokens", block_tokens=block_tokens)
 
     def encode_bucket(rows: pa.Table) -> pa.Table:
         known: dict[bytes, list[int]] = {}
@@ -200,6 +203,7 @@ def encode(
                 texts = [b"".join(map(token, x.tolist())) for x in ids]
                 made["decoded"] = pa.array(texts, pa.binary())
             out.append(pa.table(made))
+        pa.default_memory_pool().release_unused()
         return pa.concat_tables(out)
 
     return (

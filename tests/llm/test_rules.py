@@ -128,3 +128,14 @@ def test_license_query(spark, texts):
         assert r.base_labels == ",".join(sorted({x for _, x in found}))
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
         assert 0 <= r.score <= 1
+
+
+def test_given_rules_need_no_word_of_the_gate(spark):
+    """Rules that callers pass are gated by their own keywords."""
+    rule = licenses.Rule("acme", "acme terms of use", "acme", 0.9)
+    docs = spark.createDataFrame(
+        [(1, "Under ACME terms of use."), (2, "nothing"), (3, None)], "doc_id long, text string"
+    )
+    found = {r.doc_id: r.licenses for r in licenses.scan(docs, found=(rule,)).collect()}
+    assert [(d.start, d.end, d.label) for d in found[1]] == [(1, 5, "acme")]
+    assert found[2] == found[3] == []
