@@ -20,6 +20,9 @@ from arrearly.llm import bpe, decontaminate, near_dup, pii, pu_quality
 from arrearly.llm.common import documents, written
 from arrearly.llm.queries import PII_KEY
 
+# Blocks of the last stage: its workers follow those of four others on the same executors.
+BLOCK_TOKENS = 400_000
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -114,7 +117,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A NULL text is an empty one. Columns named ``n_tokens`` or ``ids`` give way to the results.
     """
     ranks, pattern = bpe.vocabulary()
-    found = bpe.encode(_packed(docs), ranks, pattern, ["doc_id", "rest"], decoded=True)
+    found = bpe.encode(
+        _packed(docs), ranks, pattern, ["doc_id", "rest"], decoded=True, block_tokens=BLOCK_TOKENS
+    )
     text = F.col("decoded").cast("string").alias("text")
     return found.select(
         *_unpacked(found, docs, ("text", "n_tokens", "ids")), text, "n_tokens", "ids"
