@@ -109,7 +109,7 @@ def _block(rows: pa.Table, sizes: np.ndarray, tokens: pa.ChunkedArray, n_buckets
     words = encoded.dictionary.take(pa.array(by_count)).to_pylist()
     counted = np.repeat(np.array(rows.column("counted").to_pylist(), dtype=bool), sizes)
     counts = np.bincount(codes[counted], minlength=len(words))
-    buckets = np.fromiter((zlib.crc32(w) for w in words), dtype=np.uint32, count=len(words))
+    buckets = np.fromiter(map(zlib.crc32, words), dtype=np.uint32, count=len(words))
     buckets %= np.uint32(n_buckets)
     order = np.argsort(buckets, kind="stable")
     present, first = np.unique(buckets[order], return_index=True)

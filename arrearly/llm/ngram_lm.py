@@ -14,6 +14,7 @@ context with many followers is spread.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,12 @@ RATE = 0.0  # least share of the training tokens of an n-gram with an arc: none
 ORDER = 3  # longest n-gram
 DISCOUNT = 0.5  # taken off every n-gram's count and left to shorter contexts
 END = b" "  # ends every text; no word holds a space
+BUCKET_NGRAMS = 1_500_000  # n-grams of a length that are counted together, at least
 
 # What is sent to blocks (and, as SUMS, to the buckets of states): packed numbers.
 _SENT = "kind int, block bigint, bucket int, a binary, b binary, c binary, d binary"
 _NAMES = ["kind", "block", "bucket", "a", "b", "c", "d"]
-WORD, PAIR, TRIPLE, WORD_SUMS, PAIR_SUMS, SUMS = range(6)
+WORD, PAIR, TRIPLE, WORD_SUMS, PAIR_SUMS, SUMS, ASKED = range(7)
 
 
 def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -55,11 +57,13 @@ def _words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def _pack(x: np.ndarray) -> bytes:
-    return pack_numbers(x.astype(np.uint64), 8)
+    """Numbers from 0, each in as many bytes as the largest needs."""
+    width = np.min_scalar_type(int(x.max(initial=0))).itemsize
+    return bytes([width]) + pack_numbers(x, width)
 
 
 def _unpack(x: bytes) -> np.ndarray:
-    return unpack_numbers(x, 8).astype(np.int64)
+    return unpack_numbers(x[1:], x[0]).astype(np.int64)
 
 
 def _pack_sorted(x: np.ndarray) -> bytes:
@@ -83,10 +87,28 @@ def _joint(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a << 32 | b
 
 
+def _ranks(number: np.ndarray) -> np.ndarray:
+    """The places of different numbers among them."""
+    out = np.empty(len(number), dtype=np.int64)
+    out[np.argsort(number)] = np.arange(len(number))
+    return out
+
+
+def _by_bucket(bucket: np.ndarray, n_buckets: int) -> np.ndarray:
+    """The stable order by bucket. Numbers of one or two bytes are sorted by radix."""
+    return np.argsort(bucket.astype(np.min_scalar_type(n_buckets)), kind="stable")
+
+
 def _sums(inverse: np.ndarray, n: int, x: np.ndarray) -> np.ndarray:
     return np.bincount(inverse, weights=x, minlength=n).astype(np.int64)
 
 
+class _Setup(NamedTuple):
+    least: float  # count of an n-gram with an arc
+    word_buckets: int
+    n_buckets: int  # of n-grams and states
+
+
 class _Block:
     """A block's distinct pairs and triples, and what is known of them.
 
@@ -94,13 +116,13 @@ class _Block:
     number in the dictionary, ``first`` that in the dictionary or among the pairs.
     """
 
-    def __init__(self, row: dict, sent: pa.Table, order: int, n_buckets: int) -> None:
-        self.sent, self.n_buckets = sent.sort_by("bucket"), n_buckets
+    def __init__(self, row: dict, sent: pa.Table, order: int, setup: _Setup) -> None:
+        self.sent, self.least, self.n_buckets = sent.sort_by("bucket"), setup.least, setup.n_buckets
         self.rows = row["rows"]
         self.sizes = np.array([r["n_tokens"] for r in self.rows], dtype=np.int64)
         self.codes = unpack_codes(row["codes"])
         self.place = places(unpack_numbers(row["buckets"]))
-        self.word_number = self.listed(WORD, "a")[self.place]
+        self.word_number = self.numbers(WORD, setup.word_buckets, _unpack)[self.place]
         self.word_count = self.listed(WORD, "b")[self.place]
         size = len(self.place)
         text = np.repeat(np.arange(len(self.sizes)), self.sizes)
@@ -115,8 +137,9 @@ class _Block:
         self.pair_suffix = self.word_count[self.pair_last]
         if order == 2:
             return
-        self.pair_order = self.dealt(self.pair_state, self.pair_last)[0]
-        self.pair_number = self.back(self.pair_order, PAIR, "a")
+        self.pair_order = self.dealt(2)[0]
+        self.pair_number = np.empty(len(pairs), dtype=np.int64)
+        self.pair_number[self.pair_order] = self.numbers(PAIR, self.n_buckets, _unpack_sorted)
         self.pair_count = self.back(self.pair_order, PAIR, "b")
         at = np.zeros(len(text), dtype=np.int64)
         at[self.pair_place] = self.pair_at
@@ -131,8 +154,17 @@ class _Block:
         self.triple_suffix = self.pair_count[self.triple_rest]
 
     def listed(self, kind: int, column: str) -> np.ndarray:
+        part = self.sent.column(column).filter(pc.equal(self.sent.column("kind"), kind))
+        found = [_unpack(x) for x in part.to_pylist()]
+        return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
+
+    def numbers(
+        self, kind: int, n_buckets: int, unpacked: Callable[[bytes], np.ndarray]
+    ) -> np.ndarray:
+        """Numbers in a bucket are sent without it, which is the row's."""
         part = self.sent.filter(pc.equal(self.sent.column("kind"), kind))
-        found = [_unpack(x) for x in part.column(column).to_pylist()]
+        rows = zip(part.column("a").to_pylist(), part.column("bucket").to_pylist())
+        found = [unpacked(x) * n_buckets + b for x, b in rows]
         return np.concatenate(found) if found else np.empty(0, dtype=np.int64)
 
     def back(self, order: np.ndarray, kind: int, column: str) -> np.ndarray:
@@ -140,37 +172,77 @@ class _Block:
         out[order] = self.listed(kind, column)
         return out
 
-    def dealt(self, state: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The order in which n-grams are sent, by bucket and state, and their buckets."""
+    def dealt(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The order in which n-grams of a length are sent, by bucket, state and word, and
+        their buckets. Their buckets number them in the same order."""
+        number, first, last = (
+            (self.word_number, self.pair_first, self.pair_last) if n == 2
+            else (self.pair_number, self.triple_first, self.triple_last)
+        )
         word = self.word_number[last].astype(np.uint64)
-        bucket = mix(mix(state.astype(np.uint64)) + word) % np.uint64(self.n_buckets)
-        order = np.lexsort((state, bucket))
+        bucket = mix(mix(number[first].astype(np.uint64)) + word) % np.uint64(self.n_buckets)
+        # An n-gram has a key of its own, so there is one order whatever the sort.
+        size = len(self.word_number)
+        if len(number) and int(number.max()) >= 2**62 // size:
+            number = _ranks(number)
+        order = np.argsort(number[first] * size + _ranks(self.word_number)[last])
+        order = order[_by_bucket(bucket[order], self.n_buckets)]
         return order, bucket[order].astype(np.int64)
 
+    def without_arc(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first parts of the n-grams of a length that may have no arc, by bucket and
+        state, and their buckets. Only there a failure arc is taken: what the marked texts
+        of this block hold often enough has an arc."""
+        number, first, counted = (
+            (self.word_number, self.pair_first, self.pair_counted) if n == 2
+            else (self.pair_number, self.triple_first, self.triple_counted)
+        )
+        part = np.unique(first[counted < self.least])
+        part = part[np.argsort(number[part])]
+        bucket = number[part] % self.n_buckets
+        order = _by_bucket(bucket, self.n_buckets)
+        return part[order], bucket[order]
+
     def asked(self, block: int, n: int) -> pa.Table:
         """The n-grams of a length by bucket: state, word, count in the marked texts, and
-        the count of the n-gram without its first word."""
+        the count of the n-gram without its first word. Then the states ``without_arc``."""
         name = "pair" if n == 2 else "triple"
         state, last, counted, suffix = (
             getattr(self, f"{name}_{x}") for x in ("state", "last", "counted", "suffix")
         )
-        order, bucket = self.dealt(state, last)
+        order, bucket = self.dealt(n)
         present, start = np.unique(bucket, return_index=True)
         parts = np.split(order, start[1:]) if len(start) else []
-        return _table([
-            (n, block, int(b), _pack_sorted(state[i]), _pack(self.word_number[last[i]]),
+        kind = PAIR if n == 2 else TRIPLE
+        out = [
+            (kind, block, int(b), _pack_sorted(state[i]), _pack(self.word_number[last[i]]),
              _pack(counted[i]), _pack(suffix[i]))
             for b, i in zip(present, parts)
-        ])
+        ]
+        part, bucket = self.without_arc(n)
+        number = (self.word_number if n == 2 else self.pair_number)[part]
+        present, start = np.unique(bucket, return_index=True)
+        for b, x in zip(present, np.split(number, start[1:])):
+            out.append((ASKED, block, int(b), _pack_sorted(x), None, None, None))
+        return _table(out)
 
-    def scores(self, total: int, distinct: int, least: float) -> np.ndarray:
+    def sums(self, n: int, size: int) -> np.ndarray:
+        """What ``_state_sums`` says of the states ``without_arc``, 0 for all others."""
+        out = np.zeros((3, size), dtype=np.int64)
+        part = self.without_arc(n)[0]
+        for x, column in zip(out, "abc"):
+            x[part] = self.listed(WORD_SUMS if n == 2 else PAIR_SUMS, column)
+        return out
+
+    def scores(self, total: int, distinct: int) -> np.ndarray:
         """The log-probability of every token after the two before it."""
+        least = self.least
         everything = total + distinct + 1
         arc = lambda n, context: np.log10(
             np.maximum(n - DISCOUNT, DISCOUNT) / np.maximum(context, 1)
         )
         one = np.log10((self.word_count + 1) / everything)
-        d, n, s = (self.listed(WORD_SUMS, c)[self.place] for c in "abc")
+        d, n, s = self.sums(2, len(self.place))
         count = np.maximum(self.word_count, 1)
         fail = np.log10((count - n + DISCOUNT * d) / count * everything / (everything - s - d))
         fail = np.where(self.word_count >= least, fail, 0.0)
@@ -180,11 +252,11 @@ class _Block:
             arc(self.pair_count, self.word_count[first]),
             fail[first] + one[self.pair_last],
         )
-        d, n, s = (self.back(self.pair_order, PAIR_SUMS, c) for c in "abc")
+        d, n, s = self.sums(3, len(self.pair_first))
         pair, word = np.maximum(self.pair_count, 1), np.maximum(self.word_count[self.pair_last], 1)
         fail = np.log10((pair - n + DISCOUNT * d) / pair * word / (word - s + DISCOUNT * d))
         fail = np.where(self.pair_count >= least, fail, 0.0)
-        order = self.dealt(self.triple_state, self.triple_last)[0]
+        order = self.dealt(3)[0]
         triple = self.back(order, TRIPLE, "b")
         three = np.where(
             triple >= least,
@@ -197,7 +269,7 @@ class _Block:
         return out
 
 
-def _count_words(table: DataFrame, n_buckets: int) -> DataFrame:
+def _count_words(table: DataFrame) -> DataFrame:
     """Number and count of all words by block; the first row of a bucket has, as c, how
     many words of the bucket stand in the marked texts."""
 
@@ -211,77 +283,93 @@ def _count_words(table: DataFrame, n_buckets: int) -> DataFrame:
         bucket = rows.column("bucket")[0].as_py()
         known = _pack(np.array([sum(c > 0 for c in counts.values())]))
         return _table([
-            (WORD, block, bucket, _pack(np.array([number[w] for w in x]) * n_buckets + bucket),
+            (WORD, block, bucket, _pack(np.array([number[w] for w in x])),
              _pack(np.array([counts[w] for w in x])), None if i else known, None)
             for i, (block, x) in enumerate(zip(rows.column("block").to_pylist(), sent))
         ])
 
-    return written(dealt_words(table).groupBy("bucket").applyInArrow(count_bucket, _SENT))
+    counted = dealt_words(table).groupBy("bucket").applyInArrow(count_bucket, _SENT)
+    return written(counted, free=True)
 
 
 def _count_ngrams(
-    table: DataFrame, sent: DataFrame, n: int, least: float, n_buckets: int
+    table: DataFrame, sent: DataFrame, n: int, setup: _Setup
 ) -> DataFrame:
     """State and count of all n-grams of a length by block, and, by bucket of the state
     that they leave: how many arcs it has, the sum of their counts, and of the counts
-    of the n-grams without the first word."""
+    of the n-grams without the first word. The states whose sums blocks ask for are
+    handed on."""
+    least, n_buckets = setup.least, setup.n_buckets
 
     def ask(left: pa.Table, right: pa.Table) -> pa.Table:
-        made = [_Block(row, right, n, n_buckets).asked(row["block"], n) for row in left.to_pylist()]
+        made = [
+            _Block(row, right, n, setup).asked(row["block"], n)
+            for row in left.to_pylist()
+        ]
         return pa.concat_tables(made) if made else _table([])
 
     def count_bucket(rows: pa.Table) -> pa.Table:
         bucket = rows.column("bucket")[0].as_py()
+        asked = pc.equal(rows.column("kind"), ASKED)
+        out = [(ASKED, r["block"], bucket, r["a"], *[None] * 3) for r in rows.filter(asked).to_pylist()]
+        rows = rows.filter(pc.invert(asked))
+        if not rows.num_rows:
+            return _table(out)
         states = [_unpack_sorted(x) for x in rows.column("a").to_pylist()]
         state = np.concatenate(states)
         word, counted, suffix = (
             np.concatenate([_unpack(x) for x in rows.column(c).to_pylist()]) for c in "bcd"
         )
-        _, first, at = np.unique(_joint(state, word), return_index=True, return_inverse=True)
-        count = _sums(at, len(first), counted)
+        ngrams, at = np.unique(_joint(state, word), return_inverse=True)
+        count = _sums(at, len(ngrams), counted)
         ends = np.cumsum([len(x) for x in states])[:-1]
-        out = [
+        out += [
             (PAIR if n == 2 else TRIPLE, block, bucket,
-             _pack(i * n_buckets + bucket) if n < ORDER else None, _pack(count[i]), None, None)
+             _pack_sorted(i) if n < ORDER else None, _pack(count[i]), None, None)
             for block, i in zip(rows.column("block").to_pylist(), np.split(at, ends))
         ]
-        kept = count >= least
-        left, arc = np.unique(state[first][kept], return_inverse=True)
-        sums = [_sums(arc, len(left), x) for x in (np.ones(len(arc)), count[kept], suffix[first][kept])]
+        kept = np.flatnonzero(count >= least)
+        left, rest = np.empty_like(count), np.empty_like(count)
+        left[at], rest[at] = state, suffix
+        left = left[kept]  # in order, as the n-grams are
+        first = np.flatnonzero(np.diff(left, prepend=-1))
+        sums = [np.add.reduceat(x, first) for x in (np.ones_like(left), count[kept], rest[kept])]
+        left = left[first]
         to = left % n_buckets
-        order = np.argsort(to, kind="stable")
+        order = _by_bucket(to, n_buckets)
         present, start = np.unique(to[order], return_index=True)
         for b, i in zip(present, np.split(order, start[1:])):
             out.append((SUMS, None, int(b), _pack_sorted(left[i]), *[_pack(x[i]) for x in sums]))
         return _table(out)
 
     asked = _by_block(table, sent, ask, _SENT)
-    return written(asked.groupBy("bucket").applyInArrow(count_bucket, _SENT))
+    return written(asked.groupBy("bucket").applyInArrow(count_bucket, _SENT), free=True)
 
 
-def _state_sums(states: DataFrame, arcs: DataFrame, kind: int, n_buckets: int) -> DataFrame:
-    """The sums over the arcs of every state, by block, in the order of the states."""
+def _state_sums(ngrams: DataFrame, kind: int, n_buckets: int) -> DataFrame:
+    """The sums over the arcs of the states that a block asked for, in its order.
+
+    The states of a bucket are numbered without gaps, so a number is a place."""
 
     def add(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [_unpack_sorted(x) for x in right.column("a").to_pylist()]
-        state, at = np.unique(np.concatenate([[-1], *found]), return_inverse=True)
-        sums = [
-            _sums(at, len(state), np.concatenate([[0], *map(_unpack, right.column(c).to_pylist())]))
-            for c in "bcd"
-        ]
+        def joined(column: str, unpacked: Callable[[bytes], np.ndarray]) -> np.ndarray:
+            found = [unpacked(x) for x in right.column(column).to_pylist()]
+            return np.concatenate([np.empty(0, dtype=np.int64), *found])
+
+        at = joined("a", _unpack_sorted) // n_buckets
+        size = at.max(initial=0) + 1
+        # The last place is that of all states without arcs.
+        sums = [_sums(at, size + 1, joined(c, _unpack)) for c in "bcd"]
         out = []
         for block, bucket, numbers in zip(*(left.column(c).to_pylist() for c in ("block", "bucket", "a"))):
-            numbers = _unpack(numbers)
-            place = np.searchsorted(state, numbers).clip(max=len(state) - 1)
-            here = state[place] == numbers
-            out.append((kind, block, bucket, *[_pack(np.where(here, x[place], 0)) for x in sums], None))
+            place = np.minimum(_unpack_sorted(numbers) // n_buckets, size)
+            out.append((kind, block, bucket, *[_pack(x[place]) for x in sums], None))
         return _table(out)
 
+    asked = ngrams.where(F.col("kind") == ASKED).select("block", "bucket", "a")
+    arcs = ngrams.where(F.col("kind") == SUMS).select("bucket", "a", "b", "c", "d")
     return (
-        states.withColumn("to", F.col("bucket") % n_buckets)
-        .groupBy("to")
-        .cogroup(arcs.where(F.col("kind") == SUMS).withColumn("to", F.col("bucket")).groupBy("to"))
-        .applyInArrow(add, _SENT)
+        asked.groupBy("bucket").cogroup(arcs.groupBy("bucket")).applyInArrow(add, _SENT)
     )
 
 
@@ -310,34 +398,37 @@ def score_texts(
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), counted)
     table = blocks(source, ["doc_id"], _words, "text", counted)
     partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    total = table.agg(F.sum("n_counted")).first()[0] or 0
-    least = max(1.0, rate * total)
-    # Words have 8 buckets a partition (see ``blocks``), a multiple of the n-grams'.
-    n_buckets = 2 * partitions
-    words = _count_words(table, 8 * partitions)
+    sizes = F.aggregate("rows", F.lit(0).cast("long"), lambda n, r: n + r["n_tokens"])
+    total, tokens = (x or 0 for x in table.agg(F.sum("n_counted"), F.sum(sizes)).first())
+    # No more buckets than the texts fill, for every block sends to every bucket.
+    n_buckets = min(2 * partitions, 1 + tokens // BUCKET_NGRAMS)
+    setup = _Setup(max(1.0, rate * total), 8 * partitions, n_buckets)  # words: see ``blocks``
+    words = _count_words(table)
     known = words.where("c IS NOT NULL").select("c").collect()  # one short row a bucket
     distinct = sum(int(_unpack(bytes(r["c"]))[0]) for r in known)
-    pairs = _count_ngrams(table, words, 2, least, n_buckets)
+    pairs = _count_ngrams(table, words, 2, setup)
     states = pairs.where(F.col("kind") == PAIR)
-    triples = _count_ngrams(table, words.union(states), 3, least, n_buckets)
-    sent = (
-        words.union(states)
-        .union(triples.where(F.col("kind") == TRIPLE))
-        .union(_state_sums(words, pairs, WORD_SUMS, n_buckets))
-        .union(_state_sums(states, triples, PAIR_SUMS, n_buckets))
+    triples = _count_ngrams(table, words.union(states), 3, setup)
+    # Written on their own, so that what they are made of is gone when all is sent.
+    sums = written(
+        _state_sums(pairs, WORD_SUMS, n_buckets).union(
+            _state_sums(triples, PAIR_SUMS, n_buckets)
+        ),
+        free=True,
     )
+    sent = words.union(states).union(triples.where(F.col("kind") == TRIPLE)).union(sums)
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row in left.to_pylist():
-            block = _Block(row, right, ORDER, n_buckets)
+            block = _Block(row, right, ORDER, setup)
             start = np.concatenate([[0], np.cumsum(block.sizes)[:-1]])
             count = block.word_count[block.codes]
             alone = np.log10((count + 1) / (total + distinct + 1))
             added = [
                 np.add.reduceat(x, start)
-                for x in ((count > 0).astype(np.int64), alone, block.scores(total, distinct, least))
+                for x in ((count > 0).astype(np.int64), alone, block.scores(total, distinct))
             ]
             for r, n_known, base, whole in zip(block.rows, *(x.tolist() for x in added)):
                 out.append(
