@@ -11,19 +11,22 @@ from pyspark.sql import types as T
 
 from arrearly.sources.schemas import SCHEMAS
 
-# The day as year, month and day, by the places of its three numbers.
+# The day's form, its length, and where year, month and day begin.
 _DAYS = {
-    "iso": (r"(\d{4})-(\d{2})-(\d{2})", (1, 2, 3)),
-    "compact": (r"(\d{4})(\d{2})(\d{2})", (1, 2, 3)),
-    "day_first": (r"(\d{2})[/.-](\d{2})[/.-](\d{4})", (3, 2, 1)),
-    "month_first": (r"(\d{2})[/.-](\d{2})[/.-](\d{4})", (3, 1, 2)),
+    "iso": (r"\d{4}-\d{2}-\d{2}", 10, (1, 6, 9)),
+    "compact": (r"\d{8}", 8, (1, 5, 7)),
+    "day_first": (r"\d{2}[/.-]\d{2}[/.-]\d{4}", 10, (7, 4, 1)),
+    "month_first": (r"\d{2}[/.-]\d{2}[/.-]\d{4}", 10, (7, 1, 4)),
 }
-_CLOCK = r"(?:[ T](\d{2}):(\d{2})(?::(\d{2}(?:\.\d{1,6})?))?)?"
+_CLOCK = r"(?:[ T]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)?"
+# A pattern's end may stand before one of these.
+_LINE_ENDS = "\n\r\u0085\u2028\u2029"
 STYLES = tuple(_DAYS)
 # Why a row is set aside: the text has another form, or there is no such day or time.
 FORM, VALUE = "form", "value"
 
 REJECTED = "rejected"
+_PARSED, _FAULTS, _TIME = "_parsed", "_faults", "_time"
 
 
 @dataclass(frozen=True)
@@ -44,22 +47,21 @@ def parsed_time(text: Column, style: str) -> tuple[Column, Column]:
     """
     if style not in _DAYS:
         raise ValueError(f"no style {style}; there are {', '.join(STYLES)}")
-    day, places = _DAYS[style]
-    pattern = f"^{day}{_CLOCK}$"
+    day, length, (year, month, of_month) = _DAYS[style]
     text = F.btrim(text)
-
-    def group(i: int) -> Column:
-        return F.regexp_extract(text, pattern, i)
-
+    well_formed = text.rlike(f"^{day}{_CLOCK}$")
+    # In a text of that form every number has its place, so one pattern is enough.
+    text = F.rtrim(text, F.lit(_LINE_ENDS))
     clock = F.concat(
-        F.lit(" "), group(4), F.lit(":"), group(5), F.lit(":"),
-        F.when(group(6) == "", "00").otherwise(group(6)),
+        F.lit(" "), F.substring(text, length + 2, 5),
+        F.when(F.length(text) == length + 6, ":00").otherwise(F.substring(text, length + 7, 10)),
     )
     iso = F.concat(
-        F.concat_ws("-", *(group(i) for i in places)),
-        F.when(group(4) == "", "").otherwise(clock),
+        F.concat_ws(
+            "-", F.substring(text, year, 4), F.substring(text, month, 2), F.substring(text, of_month, 2)
+        ),
+        F.when(F.length(text) == length, "").otherwise(clock),
     )
-    well_formed = text.rlike(pattern)
     time = F.when(well_formed, iso.try_cast("timestamp_ntz"))
     reason = F.when(~well_formed, FORM).when(well_formed & time.isNull(), VALUE)
     return time, reason
@@ -92,10 +94,19 @@ def parse_times(
     if not values:
         none = df.limit(0).withColumn(REJECTED, F.array().cast("array<string>"))
         return Parsed(df, none)
-    faults = F.array_compact(F.array(*reasons))
+    faults = F.array_compact(F.array(*reasons)).alias(_FAULTS)
+    times = [time.alias(f"{_TIME}{i}") for i, time in enumerate(values.values())]
+    # One row made of each: filters on what is made stay above it, so a text is parsed once
+    # however often its time is used.
+    parsed = df.withColumn(_PARSED, F.struct(faults, *times)).select("*", F.inline(F.array(_PARSED)))
+    made = {name: F.col(f"{_TIME}{i}").alias(name) for i, name in enumerate(values)}
+    source = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    others = [column for name, column in zip(df.columns, source) if name != REJECTED]
     return Parsed(
-        df.where(F.size(faults) == 0).withColumns(values),
-        df.withColumn(REJECTED, faults).where(F.size(REJECTED) > 0),
+        parsed.where(F.size(_FAULTS) == 0).select(
+            *(made.get(name, column) for name, column in zip(df.columns, source))
+        ),
+        parsed.where(F.size(_FAULTS) > 0).select(*others, F.col(_FAULTS).alias(REJECTED)),
     )
 
 

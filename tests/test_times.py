@@ -96,3 +96,25 @@ def test_read_tables_sets_rows_aside(spark, tmp_path):
     assert rows(tables.rejected["portfolio"], "account_id", "load_ts") == [(20, "2.6.96")]
     assert tables.rejected["third_party"].count() == 0
     assert tables.third_party.schema["load_ts"].dataType.typeName() == "timestamp_ntz"
+
+
+def test_a_text_is_parsed_once_however_often_its_time_is_used(spark):
+    """Filters on the time were pushed below the parsing, each with its own copy of it."""
+    df = spark.range(3).selectExpr("id AS account_id", "concat('1996-06-0', id + 1) AS load_ts", "id AS past_due")
+    found = parse_times(df, "portfolio").rows.where(
+        "load_ts >= timestamp_ntz'1996-06-02' AND to_date(load_ts) < date'1996-07-01'"
+    )
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and ("RLIKE" in x or "regexp" in x)]
+    assert "regexp_extract" not in plan
+    assert rows(found, "account_id") == [(1,), (2,)]
+
+
+def test_a_line_end_after_the_time_does_not_matter(spark):
+    texts = ["1996-06-01\n", "1996-06-01 09:05\r\n", "1996-06-01 09:05:59.5 ", "1996-06-01\n\n"]
+    df = spark.createDataFrame([(x,) for x in texts], "load_ts string")
+    parsed = parse_times(df, "portfolio")
+    assert rows(parsed.rows) == [
+        (datetime(1996, 6, 1),), (datetime(1996, 6, 1, 9, 5),), (datetime(1996, 6, 1, 9, 5, 59, 500000),)
+    ]
+    assert rows(parsed.rejected, "load_ts") == [("1996-06-01\n\n",)]
