@@ -118,3 +118,12 @@ def test_a_line_end_after_the_time_does_not_matter(spark):
         (datetime(1996, 6, 1),), (datetime(1996, 6, 1, 9, 5),), (datetime(1996, 6, 1, 9, 5, 59, 500000),)
     ]
     assert rows(parsed.rejected, "load_ts") == [("1996-06-01\n\n",)]
+
+
+def test_faults_are_counted_from_one_parsing(spark):
+    """The filter on the rejected rows held a second copy of all the parsing."""
+    df = spark.range(4).selectExpr("id AS account_id", "concat('1996-06-3', id) AS load_ts")
+    rejected = parse_times(df, "portfolio").rejected
+    plan = rejected._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter" in x and "RLIKE" in x]
+    assert rows(rejected_counts(rejected)) == [("load_ts: value", 3)]
