@@ -26,7 +26,7 @@ STYLES = tuple(_DAYS)
 FORM, VALUE = "form", "value"
 
 REJECTED = "rejected"
-_PARSED, _FAULTS, _TIME = "_parsed", "_faults", "_time"
+_PARSED, _FAULTS, _TEXT, _TIME = "_parsed", "_faults", "_found_text", "_found_time"
 
 
 @dataclass(frozen=True)
@@ -45,26 +45,35 @@ def parsed_time(text: Column, style: str) -> tuple[Column, Column]:
     digits. White space around it does not matter. It has no zone, so no hour is missing
     or there twice, whatever the zone of the session.
     """
+    found = _well_formed(text, style)
+    time = _time(found, style)
+    return time, _reason(text, found, time)
+
+
+def _well_formed(text: Column, style: str) -> Column:
+    """The text without white space around it if it has the form of ``style``, else NULL."""
     if style not in _DAYS:
         raise ValueError(f"no style {style}; there are {', '.join(STYLES)}")
-    day, length, (year, month, of_month) = _DAYS[style]
     text = F.btrim(text)
-    well_formed = text.rlike(f"^{day}{_CLOCK}$")
-    # In a text of that form every number has its place, so one pattern is enough.
-    text = F.rtrim(text, F.lit(_LINE_ENDS))
+    return F.when(text.rlike(f"^{_DAYS[style][0]}{_CLOCK}$"), F.rtrim(text, F.lit(_LINE_ENDS)))
+
+
+def _time(text: Column, style: str) -> Column:
+    """The time of a well-formed text, in which every number has its place."""
+    _, length, (year, month, of_month) = _DAYS[style]
     clock = F.concat(
         F.lit(" "), F.substring(text, length + 2, 5),
         F.when(F.length(text) == length + 6, ":00").otherwise(F.substring(text, length + 7, 10)),
     )
     iso = F.concat(
-        F.concat_ws(
-            "-", F.substring(text, year, 4), F.substring(text, month, 2), F.substring(text, of_month, 2)
-        ),
-        F.when(F.length(text) == length, "").otherwise(clock),
-    )
-    time = F.when(well_formed, iso.try_cast("timestamp_ntz"))
-    reason = F.when(~well_formed, FORM).when(well_formed & time.isNull(), VALUE)
-    return time, reason
+        F.substring(text, year, 4), F.lit("-"), F.substring(text, month, 2), F.lit("-"),
+        F.substring(text, of_month, 2), F.when(F.length(text) == length, "").otherwise(clock),
+    )
+    return iso.try_cast("timestamp_ntz")
+
+
+def _reason(text: Column, found: Column, time: Column) -> Column:
+    return F.when(text.isNotNull() & time.isNull(), F.when(found.isNull(), FORM).otherwise(VALUE))
 
 
 def text_times(df: DataFrame, table: str) -> list[str]:
@@ -85,22 +94,26 @@ def parse_times(
     of its text. Columns that hold times already stay as they are.
     """
     types = {f.name: f.dataType for f in SCHEMAS[table].fields}
-    values, reasons = {}, []
-    for name in text_times(df, table):
+    source = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    found, times, faults = {}, {}, []
+    none = F.array().cast("array<string>")
+    for i, name in enumerate(text_times(df, table)):
         of = style if isinstance(style, str) else style.get(name, "iso")
-        time, reason = parsed_time(F.col(name), of)
-        values[name] = time.cast(types[name])
-        reasons.append(F.concat(F.lit(f"{name}: "), reason))
-    if not values:
-        none = df.limit(0).withColumn(REJECTED, F.array().cast("array<string>"))
-        return Parsed(df, none)
-    faults = F.array_compact(F.array(*reasons)).alias(_FAULTS)
-    times = [time.alias(f"{_TIME}{i}") for i, time in enumerate(values.values())]
+        text, time = f"{_TEXT}{i}", f"{_TIME}{i}"
+        found[text] = _well_formed(F.col(name), of)
+        times[time] = _time(F.col(text), of).cast(types[name])
+        reason = _reason(F.col(name), F.col(text), F.col(time))
+        fault = F.array(F.concat(F.lit(f"{name}: "), reason))
+        faults.append(F.when(reason.isNull(), none).otherwise(fault))
+    if not times:
+        return Parsed(df, df.limit(0).withColumn(REJECTED, none))
     # One row made of each: filters on what is made stay above it, so a text is parsed once
-    # however often its time is used.
-    parsed = df.withColumn(_PARSED, F.struct(faults, *times)).select("*", F.inline(F.array(_PARSED)))
-    made = {name: F.col(f"{_TIME}{i}").alias(name) for i, name in enumerate(values)}
-    source = [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+    # however often its time is used. What is used more than once in it is made in a step below
+    # and by functions that Spark compiles, which those with a lambda are not.
+    steps = df.withColumns(found).withColumns(times)
+    made = F.struct(F.concat(*faults).alias(_FAULTS), *times)
+    parsed = steps.withColumn(_PARSED, made).select(*source, F.inline(F.array(_PARSED)))
+    made = {n: F.col(f"{_TIME}{i}").alias(n) for i, n in enumerate(text_times(df, table))}
     others = [column for name, column in zip(df.columns, source) if name != REJECTED]
     return Parsed(
         parsed.where(F.size(_FAULTS) == 0).select(

@@ -127,3 +127,19 @@ def test_faults_are_counted_from_one_parsing(spark):
     plan = rejected._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Filter" in x and "RLIKE" in x]
     assert rows(rejected_counts(rejected)) == [("load_ts: value", 3)]
+
+
+def test_a_pattern_is_matched_once_a_text(spark):
+    """The reason, the check of the time and the time each matched the pattern again, and a
+    lambda over the faults kept all of it from being compiled."""
+    df = spark.range(4).selectExpr(
+        "id AS account_id", "concat('1996-06-3', id) AS load_ts", "if(id = 1, 'x', NULL) AS birth_date"
+    )
+    parsed = parse_times(df, "portfolio")
+    for found in (parsed.rows, parsed.rejected):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE") == 2 and plan.count("try_cast") == 2
+        assert "lambda" not in plan
+    assert rows(parsed.rejected, "account_id", "rejected") == [
+        (1, ["load_ts: value", "birth_date: form"]), (2, ["load_ts: value"]), (3, ["load_ts: value"])
+    ]
