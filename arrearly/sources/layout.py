@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +55,20 @@ def write_months(
 
 
 def write_tables(tables: Tables, root: str, names: Iterable[str]) -> None:
-    """The named tables below ``root``, each laid out by month."""
-    for name in names:
-        write_months(getattr(tables, name), name, f"{root}/{name}")
+    """The named tables below ``root``, each laid out by month.
+
+    They are written at the same time: the last tasks of one table, and the few of a small one,
+    leave cores free, which those of another take.
+    """
+    frames = {name: getattr(tables, name) for name in names}
+    with ThreadPoolExecutor(max(len(frames), 1)) as pool:
+        # A thread gets the properties of the caller's jobs, as their group, only so.
+        written = [
+            pool.submit(inheritable_thread_target(df.sparkSession)(write_months), df, n, f"{root}/{n}")
+            for n, df in frames.items()
+        ]
+    for each in written:
+        each.result()
 
 
 def read_months(

@@ -3,12 +3,14 @@
 import re
 from datetime import datetime, timedelta
 from decimal import Decimal
+from threading import Barrier
 
 import pytest
 from pyspark.sql import functions as F
 from support import rows
 
 import arrearly as a
+from arrearly.sources import layout
 from arrearly.sources.layout import MONTH_COLUMN, TIME_COLUMNS, read_months, write_months, write_tables
 from arrearly.sources.schemas import SCHEMAS
 from catalog.fixtures import FUNNEL, PIVOT, WHOLE, StarTables, single_id
@@ -120,6 +122,35 @@ def test_a_hot_customer_fills_many_tasks(spark, tmp_path):
     assert start + timedelta(minutes=20_000) < datetime(1996, 6, 30)
 
 
+def test_tables_are_written_at_the_same_time(spark, star, tmp_path, monkeypatch):
+    """One after the other, each table's last tasks left the other cores idle."""
+    both, groups = Barrier(2, timeout=60), []
+
+    def write(df, table, path):
+        both.wait()  # passes only when the other table is being written too
+        groups.append(spark.sparkContext.getLocalProperty("spark.jobGroup.id"))
+        write_months(df, table, path)
+
+    monkeypatch.setattr(layout, "write_months", write)
+    spark.sparkContext.setJobGroup("loads", "")
+    try:
+        write_tables(star, str(tmp_path), ["scores", "third_party"])
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert groups == ["loads", "loads"]
+    for table in ("scores", "third_party"):
+        assert spark.read.parquet(f"{tmp_path}/{table}").count() == getattr(star, table).count()
+
+
+def test_a_table_that_can_not_be_written_is_an_error(star, tmp_path, monkeypatch):
+    def write(df, table, path):
+        raise OSError(table)
+
+    monkeypatch.setattr(layout, "write_months", write)
+    with pytest.raises(OSError, match="scores"):
+        write_tables(star, str(tmp_path), ["scores", "third_party"])
+
+
 def test_a_wider_window_is_refused(spark, root):
     with pytest.raises(ValueError, match="partitions were read"):
         a.assigned_by_month(read_months(spark, root, FUNNEL, ALL), WHOLE)
